@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import prefix_tokens, rules, warc
+from nearfield.llm import bpe, langid, prefix_tokens, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": langid.query,
     "op5_quality_rules": rules.query,
     "op8_token_counts": prefix_tokens.query,
     "op9_warc": warc.query,
+    "op10_byte_bpe": bpe.query,
 }
 
 #: Counts that plain SQL gives too are checked by tests; none of these operators has a whole result that SQL can express.
