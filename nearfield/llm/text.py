@@ -19,6 +19,8 @@ _BASE_INV = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _POWERS: list[np.ndarray] = []
+#: Byte table that lowers ASCII letters and turns other ASCII signs and digits into blanks.
+FOLDED = np.array([c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 10 if c == 10 else 0x20 for c in range(256)], np.uint8)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,10 +79,12 @@ class Words:
     ``first`` index of each text's first word.
     """
 
-    def __init__(self, col: pa.Array):
+    def __init__(self, col: pa.Array, table: np.ndarray | None = None):
+        """table: a byte table that the data is put through first."""
         off = offsets_of(col)
         buf = col.buffers()[2] if len(col) else None
         data = np.frombuffer(buf, np.uint8)[off[0] : off[-1]] if buf is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
+        data = data if table is None else table[data]
         self.data, self.off = data, off - off[0]
         self.ink = ~_SPACE[data]
         before = np.zeros(len(data), bool)
