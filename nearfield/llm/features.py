@@ -1,4 +1,4 @@
-"""Hashed features of texts for linear classifiers: folded words, word beginnings, and byte trigrams in a smaller range.
+"""Hashed features of texts for linear classifiers: folded words, word beginnings, byte trigrams in a smaller range, and how varied the words are.
 
 A text's feature values are its counts divided by the root of the number of words or trigrams, so that a score grows with
 evidence but not with length alone.
@@ -16,7 +16,9 @@ from nearfield.llm.text import FOLDED, U64, Words, blocks, mix, per_text
 WORDS, STARTS, TRIGRAM_BITS = 1 << 18, 1 << 16, 13
 #: Bytes of a word's beginning.
 START_BYTES = 5
-SIZE = WORDS + STARTS + (1 << TRIGRAM_BITS)
+#: Steps of the share of words that are distinct.
+VARIETY = 16
+SIZE = WORDS + STARTS + (1 << TRIGRAM_BITS) + VARIETY
 #: Buckets that fewer sampled texts hold are not learned.
 MIN_TEXTS = 4
 
@@ -31,6 +33,11 @@ class Features:
         start = mix(w.spans(w.start, np.minimum(w.end, w.start + START_BYTES)) ^ U64(0x2545F491)) % U64(STARTS)
         self.words = whole.astype(np.int32)
         self.starts = start.astype(np.int32) + np.int32(WORDS)
+        h = w.hashes()
+        keys = np.sort(w.text_of().astype(U64) << U64(47) | h >> U64(17))
+        new = keys[np.r_[True, keys[1:] != keys[:-1]]] if len(keys) else keys
+        distinct = np.bincount((new >> U64(47)).astype(np.int64), minlength=len(w.per))
+        self.variety = (SIZE - VARIETY + np.minimum(distinct * VARIETY // np.maximum(w.per, 1), VARIETY - 1)).astype(np.int32)
         raw = Words(col)
         self.sizes, self.n_words = np.diff(raw.off), raw.per
         d = raw.data
@@ -53,7 +60,7 @@ class Features:
             col = np.ascontiguousarray(weights[:, k])
             words = per_text(col[self.words] + col[self.starts], self.per)
             grams = per_text(np.where(self.inside, col[self.trigrams], 0), self.sizes)
-            out[:, k] = words * _root(self.per) + grams * _root(self.n_trigrams)
+            out[:, k] = words * _root(self.per) + grams * _root(self.n_trigrams) + col[self.variety]
         return out
 
 
@@ -68,6 +75,8 @@ def sparse(f: Features) -> tuple[np.ndarray, np.ndarray]:
         a, c = np.unique(at, return_counts=True)
         ids.append(a)
         vals.append(c * _root(n))
+    ids.append(f.variety)
+    vals.append(np.ones(1))
     return np.concatenate(ids).astype(np.int32), np.concatenate(vals).astype(np.float32)
 
 

@@ -50,7 +50,7 @@ class Ordinal:
         """P(grade >= j) for j = 1, 2, ... by column."""
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
-    def fit(self, y, ids, vals, off, epochs: int = 8, batch: int = 128, rate: float = 0.3, decay: float = 1e-5, seed: int = 3) -> None:
+    def fit(self, y, ids, vals, off, epochs: int = 20, batch: int = 128, rate: float = 1.0, decay: float = 3e-5, seed: int = 3) -> None:
         rng, n = np.random.default_rng(seed), len(y)
         if not n:
             return

@@ -56,7 +56,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, most: int = 1 << 20)
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0
-            end = max(start + 1, int(np.searchsorted(size, base + most, side="right")))
+            end = min(max(start + 1, int(np.searchsorted(size, base + most, side="right"))), start + 50_000)
             yield batch.slice(start, end - start)
             start = end
 
