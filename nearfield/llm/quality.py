@@ -18,7 +18,7 @@ from nearfield.llm.text import blocks
 #: Rows of each grade that are learned, at most about.
 PER_GRADE = 3000
 TAIL_GRADE = 2
-MIN_TAIL = 0.5
+MIN_TAIL = 0.4
 
 
 def grades(labels: DataFrame) -> DataFrame:

@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import bpe, langid, mixing, prefix_tokens, quality, rules, warc
+from nearfield.llm import bpe, langid, mixing, partitions, prefix_tokens, quality, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
     "op2_mixing": mixing.query,
+    "op3_ann_partitions": partitions.query,
     "op4_quality_classifier": quality.query,
     "op5_quality_rules": rules.query,
     "op8_token_counts": prefix_tokens.query,
