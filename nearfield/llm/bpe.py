@@ -1,10 +1,12 @@
 """Byte-level BPE over a corpus: each distinct pre-token of the whole corpus is encoded once.
 
 1. Every text is split into pre-tokens. Texts are taken in blocks of bounded size; a block keeps, for each text, the positions
-   of its pre-tokens as codes into the block's own list of distinct pre-tokens (so a word as frequent as "the" is one row a
-   block, not one a position). Both go to a table in the shared folder, so that a repeated task can't number them anew.
-2. The distinct pre-tokens of all blocks meet in a shuffle, and each is encoded once.
-3. The ids are joined back to the blocks' lists, and each block is put together by position.
+   of its pre-tokens as codes into the block's own list of distinct pre-tokens, so a word as frequent as "the" is sent once a
+   block and not once a position. Codes and lists go to a table in the shared folder, so that a repeated task can't number
+   them anew.
+2. The lists are dealt out by a hash of the pre-token, packed as columns, so that all occurrences of one meet in one group of
+   bounded size; there each distinct one is encoded once, and its ids are joined to every block that asked for it.
+3. Ids return to their blocks, and each text is put together by position.
 4. Decoding joins every id to the token-byte table, a table as large as the vocabulary whatever the corpus.
 """
 
@@ -12,13 +14,16 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,8 +31,12 @@ from pyspark.sql import functions as F
 from nearfield.llm.text import blocks
 from nearfield.storage import materialise
 
-BLOCK_BYTES = 16 << 20
-_ROWS = "block long, code int, word string, doc_id long, row long, codes binary"
+BLOCK_BYTES = 64 << 20
+#: Input bytes for each group of the word shuffle, and least number of groups.
+GROUP_BYTES = 64 << 20
+_ROWS = "block long, bucket int, payload binary"
+#: The bucket of rows that hold texts.
+TEXTS = -1
 
 
 def tokenizer_path() -> str:
@@ -63,57 +72,123 @@ def token_bytes(path: str) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def pretokens(docs: DataFrame, pat: str, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows of two kinds: a text's codes (doc_id, row, codes), and a block's distinct pre-tokens (code, word)."""
+class _Codes(dict):
+    """Numbers pre-tokens in the order in which they first come."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    """Integer arrays, byte planes apart so that they compress well."""
+    out = []
+    for a in arrays:
+        planes = np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4).T
+        n = 4
+        while n and not planes[n - 1].any():
+            n -= 1
+        raw = np.ascontiguousarray(planes[:n]).tobytes()
+        z = zstandard.compress(raw, 3)
+        out.append(struct.pack("<QBQ", len(a), n, len(z)) + z)
+    return b"".join(out)
+
+
+def unpack(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        size, n, z = struct.unpack_from("<QBQ", data, at)
+        at += 17
+        planes = np.zeros((4, size), np.uint8)
+        raw = zstandard.decompress(data[at : at + z], max_output_size=max(1, n * size))
+        planes[:n] = np.frombuffer(raw, np.uint8).reshape(n, size)
+        out.append(np.ascontiguousarray(planes.T).view("<u4").ravel())
+        at += z
+    return out
+
+
+def _pack_words(words: pa.Array) -> bytes:
+    """UTF-8 pre-tokens: their lengths, and their bytes."""
+    off = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1]
+    raw = words.buffers()[2].to_pybytes()[off[0] : off[-1]] if len(words) else b""
+    return pack(np.diff(off).astype(np.uint32), np.frombuffer(raw, np.uint8).astype(np.uint32))
+
+
+def _unpack_words(data: bytes) -> tuple[np.ndarray, list[bytes]]:
+    codes, size, raw = unpack(data)
+    raw, ends = raw.astype(np.uint8).tobytes(), np.cumsum(size).tolist()
+    return codes, [raw[e - n : e] for e, n in zip(ends, size.tolist(), strict=True)]
+
+
+def pretokens(docs: DataFrame, pat: str, groups: int, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows of two kinds for each block: some texts' ids and codes (bucket TEXTS), and its distinct pre-tokens of each bucket."""
 
     def split(batches):
         find = regex.compile(pat).findall
-        part = TaskContext.get().partitionId()
-        block, seen, size, row = part << 24, {}, 0, 0
-
-        def words():
-            n = 1 << 16
-            listed = list(seen)
-            for i in range(0, len(listed), n):
-                w = listed[i : i + n]
-                yield _rows(block=[block] * len(w), code=range(i, i + len(w)), word=w)
+        block, seen, held, size = TaskContext.get().partitionId() << 24, _Codes(), [], 0
+
+        def rows():
+            # frequent pre-tokens get small codes
+            count = np.zeros(len(seen), np.int64)
+            for _, _, codes in held:
+                count += np.bincount(codes, minlength=len(seen))
+            order = np.argsort(-count, kind="stable")
+            rank = np.empty(len(seen), np.uint32)
+            rank[order] = np.arange(len(seen), dtype=np.uint32)
+            out = []
+            for ids, sizes, codes in held:
+                known = np.array([i is not None for i in ids], np.uint32)
+                wide = np.array([i or 0 for i in ids], np.int64).view(np.uint64)
+                low, high = (wide & np.uint64(0xFFFFFFFF)).astype(np.uint32), (wide >> np.uint64(32)).astype(np.uint32)
+                out.append((TEXTS, pack(known, low, high, sizes, rank[codes])))
+            words = list(seen)
+            hashed = np.fromiter((crc32(w.encode()) for w in words), np.uint32, len(words)) % np.uint32(groups)
+            by = order[np.argsort(hashed[order], kind="stable")]
+            listed = pa.array(words, pa.string())
+            ends = np.searchsorted(hashed[by], np.arange(groups), side="right")
+            for k, (i, j) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+                if i < j:
+                    out.append((k, pack(rank[by[i:j]]) + _pack_words(listed.take(pa.array(by[i:j])))))
+            return pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["block", "bucket", "payload"])
 
         for b in blocks(batches, text):
-            ids, codes = b.column(0).to_pylist(), []
-            for t in b.column(1).to_pylist():
-                found = find(t or "")
-                for w in set(found):
-                    if w not in seen:
-                        seen[w] = len(seen)
-                codes.append(np.array([seen[w] for w in found], np.uint32).tobytes())
-            yield _rows(block=[block] * len(ids), doc_id=ids, row=range(row, row + len(ids)), codes=codes)
-            row += len(ids)
+            found = [find(t or "") for t in b.column(1).to_pylist()]
+            sizes = np.array([len(x) for x in found], np.uint32)
+            codes = np.fromiter(map(seen.__getitem__, chain.from_iterable(found)), np.uint32, int(sizes.sum()))
+            held.append((b.column(0).to_pylist(), sizes, codes))
             size += b.column(1).nbytes
             if size >= block_bytes:
-                yield from words()
-                block, seen, size = block + 1, {}, 0
-        if size or row:
-            yield from words()
+                yield rows()
+                block, seen, held, size = block + 1, _Codes(), [], 0
+        if held:
+            yield rows()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(split, _ROWS)
 
 
-def _rows(**given) -> pa.RecordBatch:
-    kinds = {"block": pa.int64(), "code": pa.int32(), "word": pa.string(), "doc_id": pa.int64(), "row": pa.int64(), "codes": pa.binary()}
-    n = len(given["block"])
-    return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in kinds.items()], list(kinds))
+def encode_words(listed: DataFrame, path: str, pat: str) -> DataFrame:
+    """For each (block, bucket): codes, number of ids of each, and the ids; a distinct pre-token is encoded once."""
 
+    def encode_group(table: pa.Table) -> pa.Table:
+        one, ids_of, flat, ends = _encoding(path, pat)._encode_single_piece, {}, [], [0]
+        payloads = []
+        for payload in table.column("payload").to_pylist():
+            codes, words = _unpack_words(payload)
+            at = []
+            for w in words:
+                k = ids_of.get(w)
+                if k is None:
+                    k = ids_of[w] = len(ids_of)
+                    flat += one(w)
+                    ends.append(len(flat))
+                at.append(k)
+            payloads.append((codes, np.array(at, np.int64)))
+        flat, ends = np.array(flat, np.uint32), np.array(ends, np.int64)
+        start, size = ends[:-1], np.diff(ends)
+        packed = [pack(codes, size[at], _ragged(flat, start[at], size[at])) for codes, at in payloads]
+        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "payload": pa.array(packed, pa.binary())})
 
-def encode_words(words: DataFrame, path: str, pat: str) -> DataFrame:
-    """(word, ids): ids as little-endian unsigned 32-bit integers."""
-
-    def encode(batches):
-        one = _encoding(path, pat)._encode_single_piece
-        for b in batches:
-            ids = [np.array(one(w.encode()), np.uint32).tobytes() for w in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], ["word", "ids"])
-
-    return words.select("word").mapInArrow(encode, "word string, ids binary")
+    return listed.groupBy("bucket").applyInArrow(encode_group, _ROWS)
 
 
 def _ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -124,38 +199,46 @@ def _ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
 
 
 def _assembled(table: pa.Table):
-    """For a block: its text rows in order, with each text's ids."""
-    is_text = pc.is_valid(table.column("codes"))
-    texts = table.filter(is_text).sort_by("row")
-    listed = table.filter(pc.invert(is_text)).sort_by("code")
-    ids = listed.column("ids").combine_chunks()
-    flat = [np.frombuffer(x, np.uint32) for x in ids.to_pylist()]
-    size = np.array([len(x) for x in flat], np.int64)
-    flat = np.concatenate(flat) if flat else np.zeros(0, np.uint32)
-    start = np.cumsum(size) - size
-    for doc_id, codes in zip(texts.column("doc_id").to_pylist(), texts.column("codes").to_pylist(), strict=True):
-        c = np.frombuffer(codes, np.uint32)
-        yield doc_id, _ragged(flat, start[c], size[c])
+    """For a block: each of its texts, as doc_id and ids."""
+    rows = list(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True))
+    parts = [unpack(p) for k, p in rows if k != TEXTS]
+    codes = np.concatenate([c for c, _, _ in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
+    sizes = np.concatenate([n for _, n, _ in parts]).astype(np.int64) if parts else codes
+    flat = np.concatenate([i for _, _, i in parts]) if parts else np.zeros(0, np.uint32)
+    size, start = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
+    size[codes], start[codes] = sizes, np.cumsum(sizes) - sizes
+    del parts
+    for payload in (p for k, p in rows if k == TEXTS):
+        known, low, high, per, text_codes = unpack(payload)
+        ids = (low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)).view(np.int64)
+        ends = np.cumsum(per.astype(np.int64))
+        n = size[text_codes]
+        tokens = _ragged(flat, start[text_codes], n)
+        bounds = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], ends])]
+        for i in range(len(per)):
+            yield int(ids[i]) if known[i] else None, tokens[bounds[i] : bounds[i + 1]]
+
+
+def _groups(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:
+    """So many groups that one holds a bounded part of the words: from the size that the planner knows of the input."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, min(known // group_bytes, 1 << 20) if known < 1 << 60 else least)
 
 
 def encode(docs: DataFrame, finish, schema: str, path: str | None = None, text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Encode every text and hand (doc_id, ids) pairs of a block to ``finish``, which yields one dict of columns.
+    """Encode every text and hand (doc_id, ids) pairs of a block to ``finish``, which makes the block's result table.
 
     Null and empty texts have no ids. Repeated rows come out each. Other columns are ignored. No rows for an empty table.
     """
     where, pat = path or tokenizer_path(), pattern()
-    split = materialise(pretokens(docs, pat, text, block_bytes), "bpe-pretokens")
-    listed = split.where("codes IS NULL").select("block", "code", "word")
-    words = encode_words(listed.select("word").distinct(), where, pat)
-    back = listed.join(words, "word").select(
-        "block", "code", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("row"), F.lit(None).cast("binary").alias("codes"), "ids"
-    )
-    rows = split.where("codes IS NOT NULL").select("block", "code", "doc_id", "row", "codes", F.lit(None).cast("binary").alias("ids"))
+    split = materialise(pretokens(docs, pat, _groups(docs), text, block_bytes), "bpe-pretokens")
+    back = encode_words(split.where(F.col("bucket") != TEXTS), where, pat)
 
     def assemble(table: pa.Table) -> pa.Table:
         return finish(_assembled(table), where)
 
-    return rows.union(back).groupBy("block").applyInArrow(assemble, schema)
+    return split.where(F.col("bucket") == TEXTS).union(back).groupBy("block").applyInArrow(assemble, schema)
 
 
 def decode(ids: np.ndarray, path: str) -> bytes:
