@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from nearfield.llm import bpe, langid, minhash, mixing, partitions, prefix_tokens, quality, rules, warc
+from nearfield.llm import bpe, langid, lines, minhash, mixing, partitions, prefix_tokens, quality, rules, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": langid.query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_ann_partitions": partitions.query,
     "op4_quality_classifier": quality.query,
     "op5_quality_rules": rules.query,
+    "op6_line_dedup": lines.query,
     "op7_near_duplicates": minhash.query,
     "op8_token_counts": prefix_tokens.query,
     "op9_warc": warc.query,
