@@ -250,19 +250,6 @@ def decode(ids: np.ndarray, path: str) -> bytes:
     return got.buffers()[2].to_pybytes()[off[0] : off[len(got)]] if len(got) else b""
 
 
-def encoded_ids(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids array<int>) for every row."""
-
-    def finish(pairs, where):
-        doc_id, ids = [], []
-        for d, i in pairs:
-            doc_id.append(d)
-            ids.append(i.astype(np.int32))
-        return pa.table({"doc_id": pa.array(doc_id, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
-
-    return encode(docs, finish, "doc_id long, ids array<int>", path)
-
-
 def decoded_texts(encoded: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, text) from (doc_id, ids); bytes that are no UTF-8 become replacement characters, null ids null."""
     where = path or tokenizer_path()
@@ -275,16 +262,24 @@ def decoded_texts(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(back, "doc_id long, text string")
 
 
+def _finisher(with_ids: bool):
+    def finish(pairs, where) -> pa.Table:
+        out = [(d, len(i), i.astype(np.int32) if with_ids else None, hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(i, where)).hexdigest()) for d, i in pairs]
+        cols = list(zip(*out, strict=True)) or [[]] * 5
+        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "ids": pa.list_(pa.int32()), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+        return pa.table({n: pa.array(c, k) for c, (n, k) in zip(cols, kinds.items(), strict=True) if with_ids or n != "ids"})
+
+    return finish
+
+
 def digests(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row."""
+    return encode(docs, _finisher(False), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path, block_bytes=block_bytes)
 
-    def finish(pairs, where):
-        out = [(d, len(i), hashlib.sha256(i.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decode(i, where)).hexdigest()) for d, i in pairs]
-        cols = list(zip(*out, strict=True)) or [[]] * 4
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string()]
-        return pa.table([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return encode(docs, finish, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", path, block_bytes=block_bytes)
+def encoded(docs: DataFrame, path: str | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The same with the ids themselves."""
+    return encode(docs, _finisher(True), "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string", path, block_bytes=block_bytes)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ replayed from the few vectors of earlier passes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -29,6 +30,33 @@ PASSES = 25
 CLOSE = 1e-4
 
 
+Target = Callable[[np.ndarray], np.ndarray]
+
+
+def shares(wanted: dict[str, float], names: tuple[str, ...] = DOMAINS) -> Target:
+    """As many tokens in all as there are, in the given shares (scaled to sum 1; a domain not named gets none)."""
+    w = np.array([wanted.get(n, 0.0) for n in names])
+    return lambda s: w / w.sum() * s.sum()
+
+
+def tempered(power: float) -> Target:
+    """Shares in proportion to the power of the tokens there are, scaled up so that no domain loses any: rare domains repeat."""
+
+    def target(s: np.ndarray) -> np.ndarray:
+        w = np.where(s > 0, np.maximum(s, 1e-300) ** power, 0.0)
+        w /= w.sum()
+        return w * np.max(s[w > 0] / w[w > 0])
+
+    return target
+
+
+def languages_of(docs: DataFrame) -> tuple[tuple[str, ...], DataFrame]:
+    """The languages that documents are labelled with, and (doc_id, domain) with their numbers."""
+    names = tuple(r[0] for r in docs.where("lang IS NOT NULL").select("lang").distinct().orderBy("lang").collect())
+    number = F.coalesce(*[F.when(F.col("lang") == n, i) for i, n in enumerate(names)]) if names else F.lit(None).cast("int")
+    return names, docs.where("doc_id IS NOT NULL AND lang IS NOT NULL").select("doc_id", number.alias("domain")).groupBy("doc_id").agg(F.max("domain").alias("domain"))
+
+
 def domains_of(labels: DataFrame) -> DataFrame:
     """(doc_id, domain): poor for quality 0, else toxic or clean; the last in the order of DOMAINS wins for repeated rows."""
     d = F.when(F.col("quality") == 0, 1).when(F.coalesce(F.col("toxic"), F.lit(0)) != 0, 2).otherwise(0)
@@ -74,7 +102,7 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, k: int = len(DOMAINS),
     """From (doc_id, domain) rows, at most about ``per_domain`` of each; None if no labelled document is there."""
     counts = {r[0]: r[1] for r in labelled.groupBy("domain").count().collect()}
     total = sum(counts.values())
-    if not total:
+    if not total or not k:
         return None
     sample = reduce(DataFrame.union, [bounded(labelled.where(F.col("domain") == d), "doc_id", per_domain) for d in range(k)])
     y, ids, vals, off = rows_of(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "domain", "text"), "domain")
@@ -110,29 +138,26 @@ def _rate(steps: list[np.ndarray]) -> F.Column:
     return r
 
 
-def fit_rates(table: DataFrame, targets: list[float], total: float | None = None, passes: int = PASSES, close: float = CLOSE) -> tuple[list[np.ndarray], list[float]]:
+def fit_rates(table: DataFrame, target: Target, k: int, passes: int = PASSES, close: float = CLOSE) -> tuple[list[np.ndarray], list[float]]:
     """Steps whose replay gives the rates, and the remaining gap, as a share of the tokens, after each pass.
 
-    table: n_tokens and p0, p1, ...; targets: shares that are scaled to sum 1; total: tokens to reach (as many as there are by
-    default). No tokens: no steps. A domain of which no document has any posterior can't be met; the rest is fitted as well as
-    least squares allow.
+    table: n_tokens and p0, p1, ...; target: from the expected tokens of each domain, those to reach. No tokens: no steps. A
+    domain of which no document has any posterior can't be met; the rest is fitted as well as least squares allow.
     """
-    k = len(targets)
     t, p = F.col("n_tokens").cast("double"), [F.col(f"p{j}") for j in range(k)]
     first = table.agg(F.sum(t).alias("n"), *[F.sum(t * a).alias(f"s{j}") for j, a in enumerate(p)], *[F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).collect()[0]
     n = first["n"] or 0.0
     if n <= 0:
         return [], []
-    weights = np.array(targets, float)
-    target = weights / weights.sum() * (total or n)
-    h = np.linalg.pinv(np.array([[first[f"g{i}_{j}"] for j in range(k)] for i in range(k)]) / n + 1e-9 * np.eye(k))
     s, steps, gaps = np.array([first[f"s{j}"] for j in range(k)]), [], []
+    goal = target(s)
+    h = np.linalg.pinv(np.array([[first[f"g{i}_{j}"] for j in range(k)] for i in range(k)]) / n + 1e-9 * np.eye(k))
     while True:
-        gaps.append(float(np.abs(s - target).sum() / n))
+        gaps.append(float(np.abs(s - goal).sum() / n))
         stuck = len(gaps) > 6 and gaps[-1] > 0.999 * gaps[-4]
         if gaps[-1] <= close or len(steps) >= passes or stuck:
             return steps, gaps
-        steps.append(h @ (s - target) / n)
+        steps.append(h @ (s - goal) / n)
         r = _rate(steps)
         row = table.agg(*[F.sum(t * r * a).alias(f"s{j}") for j, a in enumerate(p)]).collect()[0]
         s = np.array([row[f"s{j}"] for j in range(k)])
@@ -140,32 +165,29 @@ def fit_rates(table: DataFrame, targets: list[float], total: float | None = None
 
 def _copies(rate: F.Column, key: F.Column) -> F.Column:
     """The rate rounded down or up to a whole number of copies, by a hash of the key."""
-    u = F.pmod(F.xxhash64(F.lit(29), key), F.lit(1 << 30)) / float(1 << 30)
+    u = F.pmod(F.xxhash64(F.lit(29), key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return F.floor(rate + u).cast("int")
 
 
-def rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float] | None = None, total: float | None = None, model: Softmax | None = None) -> DataFrame:
+def rates(docs: DataFrame, labelled: DataFrame, target: Target, names: tuple[str, ...] = DOMAINS, model: Softmax | None = None) -> DataFrame:
     """doc_id, n_tokens, p_<domain>, rate and copies of every row.
 
     n_tokens counts words (0 for a null text, whose rate still follows from its posterior). Repeated rows get equal rates.
     Without a labelled document every posterior is that of the first domain. Other columns are ignored; an empty table gives
     no rows.
     """
-    wanted = targets or TARGETS
-    model = model or fit_classifier(docs, labelled)
-    table = materialise(with_posteriors(docs, model, ["doc_id"]), "mixing-posteriors")
-    steps, _ = fit_rates(table, [wanted[d] for d in DOMAINS], total)
-    rate = _rate(steps)
-    return table.select(
-        F.col("c0").cast("long").alias("doc_id"), "n_tokens", *[F.col(f"p{j}").alias(f"p_{d}") for j, d in enumerate(DOMAINS)], rate.alias("rate"), _copies(rate, F.col("c0")).alias("copies")
-    )
-
-
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
-    """The rows of docs, each as many times as its rate says (0, 1 or more), with the columns of docs."""
-    table = materialise(with_posteriors(docs, fit_classifier(docs, labelled), docs.columns), "mixing-documents")
-    steps, _ = fit_rates(table, [targets[d] for d in DOMAINS])
-    n = len(docs.columns)
+    k = len(names)
+    model = model or fit_classifier(docs, labelled, k)
+    table = materialise(with_posteriors(docs, model, ["doc_id"], k=k), "mixing-posteriors")
+    steps, _ = fit_rates(table, target, k)
+    return table.select(F.col("c0").cast("long").alias("doc_id"), "n_tokens", *[F.col(f"p{j}").alias(f"p_{d}") for j, d in enumerate(names)], _rate(steps).alias("rate"), _copies(_rate(steps), F.col("c0")).alias("copies"))
+
+
+def mix(docs: DataFrame, labelled: DataFrame, target: Target, names: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """The rows of docs, each as many times as its rate says (0, 1 or more), with the columns of docs. Nothing is shuffled."""
+    k, n = max(1, len(names)), len(docs.columns)
+    table = materialise(with_posteriors(docs, fit_classifier(docs, labelled, len(names)), docs.columns, k=k), "mixing-documents")
+    steps, _ = fit_rates(table, target, k)
     times = _copies(_rate(steps), F.col(f"c{docs.columns.index('doc_id')}"))
     once = table.select(*[f"c{i}" for i in range(n)], times.alias("times")).where("times > 0")
     return once.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)
@@ -174,4 +196,4 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> Data
 def query(spark, sf_dir: str) -> DataFrame:
     """op2_mixing over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return rates(docs, domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return rates(docs, domains_of(spark.read.parquet(f"{sf_dir}/labels.parquet")), shares(TARGETS))
