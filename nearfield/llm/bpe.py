@@ -243,8 +243,8 @@ def encode(docs: DataFrame, finish, schema: str, path: str | None = None, text:
 
 def decode(ids: np.ndarray, path: str) -> bytes:
     """The bytes that ids stand for: each id joined to the token-byte table, in order."""
-    got = token_bytes(path).take(pa.array(ids))
-    if got.null_count:
+    known = token_bytes(path)
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < len(known) or (got := known.take(pa.array(ids))).null_count:
         raise ValueError("an id outside the vocabulary")
     off = np.frombuffer(got.buffers()[1], np.int32)
     return got.buffers()[2].to_pybytes()[off[0] : off[len(got)]] if len(got) else b""

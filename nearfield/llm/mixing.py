@@ -2,9 +2,9 @@
 
 A softmax classifier learned from the labelled table gives every document a posterior over domains. Nonnegative document rates
 r are then fitted so that the expected tokens of each domain, S(r) = sum of r_i * tokens_i * p_i, meet the targets T: projected
-gradient descent on the least squares of S(r) - T, weighted by the inverse of the domains' second moments, from r = 1. A pass
-over the posteriors gives S, a vector as long as the list of domains, and the rates are never stored: a document's rate is
-replayed from the few vectors of earlier passes.
+gradient descent on the least squares of S(r) - T, weighted by the inverse of the domains' second moments over the rates that
+are free to move, from r = 1. A pass over the posteriors gives S and these moments, whose size is that of the list of domains,
+and the rates are never stored: a document's rate is replayed from the few vectors of earlier passes.
 """
 
 from __future__ import annotations
@@ -28,6 +28,7 @@ TARGETS = {"clean": 0.95, "poor": 0.05, "toxic": 0.0}
 PER_DOMAIN = 3000
 PASSES = 25
 CLOSE = 1e-4
+RIDGE = 1e-3
 
 
 Target = Callable[[np.ndarray], np.ndarray]
@@ -145,22 +146,26 @@ def fit_rates(table: DataFrame, target: Target, k: int, passes: int = PASSES, cl
     domain of which no document has any posterior can't be met; the rest is fitted as well as least squares allow.
     """
     t, p = F.col("n_tokens").cast("double"), [F.col(f"p{j}") for j in range(k)]
-    first = table.agg(F.sum(t).alias("n"), *[F.sum(t * a).alias(f"s{j}") for j, a in enumerate(p)], *[F.sum(t * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(k)]).collect()[0]
-    n = first["n"] or 0.0
-    if n <= 0:
-        return [], []
-    s, steps, gaps = np.array([first[f"s{j}"] for j in range(k)]), [], []
-    goal = target(s)
-    h = np.linalg.pinv(np.array([[first[f"g{i}_{j}"] for j in range(k)] for i in range(k)]) / n + 1e-9 * np.eye(k))
+    steps: list[np.ndarray] = []
+    gaps: list[float] = []
+    n, goal = 0.0, np.zeros(k)
     while True:
+        r = _rate(steps)
+        moving = F.when(r > 0, t).otherwise(0.0)  # a rate at its bound doesn't answer to a small step
+        sums = [F.sum(t).alias("n"), *[F.sum(t * r * a).alias(f"s{j}") for j, a in enumerate(p)]]
+        row = table.agg(*sums, *[F.sum(moving * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).collect()[0]
+        if not row["n"]:
+            return [], []
+        s = np.array([row[f"s{j}"] for j in range(k)])
+        if not steps:
+            n, goal = row["n"], target(s)
         gaps.append(float(np.abs(s - goal).sum() / n))
         stuck = len(gaps) > 6 and gaps[-1] > 0.999 * gaps[-4]
         if gaps[-1] <= close or len(steps) >= passes or stuck:
             return steps, gaps
-        steps.append(h @ (s - goal) / n)
-        r = _rate(steps)
-        row = table.agg(*[F.sum(t * r * a).alias(f"s{j}") for j, a in enumerate(p)]).collect()[0]
-        s = np.array([row[f"s{j}"] for j in range(k)])
+        h = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / n
+        damp = RIDGE * max(np.trace(h) / k, 1e-12) * np.eye(k)  # domains that hardly move get small steps
+        steps.append(np.linalg.solve(h + damp, (s - goal) / n))
 
 
 def _copies(rate: F.Column, key: F.Column) -> F.Column:
