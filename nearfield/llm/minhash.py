@@ -5,8 +5,8 @@ process whose rate is its weight; each arrival goes to a random register, and a
 texts agree with the probability Jaccard similarity of their weights. A process is followed no further than the latest register
 value so far, since later arrivals can change nothing.
 
-Candidates share all registers of a band. They are linked in rounds whose work follows the number of bucket entries, never the
-number of pairs in a bucket (see ``link``), and a link counts only after the exact similarity has been computed.
+Candidates share all registers of a band. They are linked in rounds whose work follows the number of texts, never the number of
+pairs in a bucket (see ``link``), and a link counts only after the exact similarity has been computed.
 """
 
 from __future__ import annotations
@@ -26,9 +26,11 @@ BANDS, ROWS = 25, 5
 REGISTERS = BANDS * ROWS
 #: Pairs whose share of equal registers is below this are not compared exactly: five standard deviations under the threshold.
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
-#: Buckets of more unlinked groups than this are split by a second band before pairs are made.
+#: Up to this size, every pair of a bucket that the rounds leave unconnected is compared.
 SMALL_BUCKET = 64
-ROUNDS = 3
+#: Pivots of a bucket in a round; rounds go on while they find links, at most so many.
+PIVOTS = 3
+ROUNDS = 6
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -126,7 +128,7 @@ def sketches(docs: DataFrame, text: str = "text") -> DataFrame:
             none = per == 0
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(per) + 1, dtype=np.int32) * BANDS), pa.array(h.ravel()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(digest.view(np.int64), mask=none), pa.array(per.astype(np.int32)), bands, pa.array([s.tobytes() for s in sig], pa.binary())],
+                [b.column(0), pa.array(digest.view(np.int64), mask=none), pa.array(per.astype(np.int32)), bands, pa.array([s.tobytes() for s in sig.astype(np.uint16)], pa.binary())],
                 ["id", "digest", "n_shingles", "bands", "registers"],
             )
 
@@ -142,7 +144,7 @@ def _agree(pairs: DataFrame, least: float) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            a, c = (np.frombuffer(_bytes(b.column(b.schema.get_field_index(k))), np.uint32).reshape(b.num_rows, -1) for k in ("ra", "rb"))
+            a, c = (np.frombuffer(_bytes(b.column(b.schema.get_field_index(k))), np.uint16).reshape(b.num_rows, -1) for k in ("ra", "rb"))
             share = (a == c).mean(axis=1)
             keep = pa.array(share >= least)
             cols = [b.column(b.schema.get_field_index(k)) for k in names] + [pa.array(share)]
@@ -191,12 +193,10 @@ def _shingles(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
     return one.mapInArrow(run, "id long, digest long, keys binary, counts binary")
 
 
-def _compare(pairs: DataFrame, unique: DataFrame, shingles: DataFrame, threshold: float, best_only: bool) -> DataFrame:
-    """Edges among candidate pairs (a, b): the registers first, then the exact similarity; with best_only, of the pairs of an a only the most alike."""
+def _compare(pairs: DataFrame, unique: DataFrame, shingles: DataFrame, threshold: float) -> DataFrame:
+    """Edges among candidate pairs (a, b): the registers first (16 bits of each), then the exact similarity."""
     side = lambda n: unique.select(F.col("digest").alias(n), F.col("registers").alias(f"r{n}"))
     alike = _agree(pairs.join(side("a"), "a").join(side("b"), "b"), threshold - SLACK)
-    if best_only:
-        alike = alike.groupBy("a").agg(F.max_by("b", F.struct("share", F.col("b"))).alias("b"))
     return materialise(_verified(alike.select("a", "b"), shingles, threshold), "near-edges")
 
 
@@ -213,48 +213,56 @@ def _unlinked(entries: DataFrame) -> DataFrame:
     return entries.join(open_, "bucket")
 
 
-def link(unique: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, small: int = SMALL_BUCKET) -> DataFrame:
-    """(a, b) edges between distinct texts such that texts with a similarity of the threshold or more that share a bucket are connected.
+class _Links:
+    """Edges found so far, and what they connect."""
 
-    A round compares every entry of a bucket with one pivot of the bucket only, and then drops the buckets all of whose texts
-    are connected by now; after a few rounds with other pivots, large groups of copies are connected. What is left are mostly
-    texts that share a bucket by chance or through a common passage. There, each pair from different groups is compared, in
-    small buckets at once; in larger ones if the two share one more band, and another, since unlike texts hardly do.
+    def __init__(self, unique: DataFrame, shingles: DataFrame, threshold: float):
+        self.unique, self.shingles, self.threshold = unique, shingles, threshold
+        self.edges: DataFrame | None = None
+        self.roots: DataFrame | None = None
+
+    def add(self, pairs: DataFrame) -> bool:
+        """Compare candidate pairs; whether any is a link."""
+        new = _compare(pairs, self.unique, self.shingles, self.threshold)
+        found = bool(new.limit(1).count())
+        self.edges = new if self.edges is None else self.edges.union(new)
+        if found or self.roots is None:
+            self.roots = components(self.edges)
+        return found
+
+    def open(self, entries: DataFrame) -> DataFrame:
+        """Entries (bucket, digest) of buckets with texts that aren't all connected, with their groups."""
+        return materialise(_unlinked(_with_groups(entries.select("bucket", "digest"), self.roots)).select("bucket", "digest", "group"), "near-live")
+
+
+def link(unique: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, pivots: int = PIVOTS, small: int = SMALL_BUCKET) -> DataFrame:
+    """(a, b) edges that connect distinct texts with a similarity of the threshold or more.
+
+    A round draws a few pivots in each open bucket and compares every text with that pivot of another group with which it
+    shares most bands, the likeliest link; buckets all of whose texts are connected then close. Rounds go on while they find
+    links, so a group of copies is connected at a cost that follows its size and not its square. What stays open are mostly
+    texts that share a band by chance or through a common passage: in buckets of up to ``small`` texts, every pair from
+    different groups is compared. In larger ones, a text that none of the rounds links to its best pivots is taken for unlike.
     """
-    entries = materialise(_unlinked(_with_groups(unique.select(F.explode("bands").alias("bucket"), "digest"), None)).select("bucket", "digest"), "near-entries")
-    edges, roots = None, None
+    links = _Links(unique, shingles, threshold)
+    live = links.open(unique.select(F.explode("bands").alias("bucket"), "digest"))
     for k in range(rounds):
-        live = entries if roots is None else _unlinked(_with_groups(entries, roots))
-        if roots is None:
-            live = live.withColumn("group", F.col("digest"))
-        else:
-            live = materialise(live.select("bucket", "digest", "group"), "near-live")
-            entries = live.select("bucket", "digest")
-        order = F.struct(F.xxhash64(F.lit(k), "digest"), F.col("digest"), F.col("group"))
-        pivot = live.groupBy("bucket").agg(F.min(order).alias("p")).select("bucket", F.col("p.digest").alias("b"), F.col("p.group").alias("gb"))
-        pairs = live.join(pivot, "bucket").where("group <> gb").select(F.col("digest").alias("a"), "b").distinct()
-        new = _compare(pairs, unique, shingles, threshold, best_only=k == 0)
-        edges = new if edges is None else edges.union(new)
-        roots = components(edges)
-    level = _unlinked(_with_groups(entries, roots)).select("bucket", "digest", "group")
-    for depth in range(3):
-        level = materialise(level, "near-level")
-        if not level.limit(1).count():
+        if not live.limit(1).count():
             break
-        sizes = level.groupBy("bucket").agg(F.count("*").alias("n"))
-        last = depth == 2
-        sized = level.join(sizes, "bucket")
-        few = sized if last else sized.where(F.col("n") <= small)
-        left, right = (few.select("bucket", F.col("digest").alias(n), F.col("group").alias(f"g{n}")) for n in "ab")
-        pairs = left.join(right, "bucket").where("a < b AND ga <> gb").select("a", "b").distinct()
-        edges = edges.union(_compare(pairs, unique, shingles, threshold, best_only=False))
-        if last:
+        drawn = F.slice(F.array_sort(F.collect_list(F.struct(F.col("h").alias("h"), "digest", "group"))), 1, pivots)
+        # a text can be drawn only where its hash is low enough to leave a few of the bucket, which bounds what is collected
+        sized = live.join(live.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").withColumn("h", F.xxhash64(F.lit(k), "bucket", "digest"))
+        low = sized.where(F.pmod("h", F.lit(1 << 30)) * F.col("n") < F.lit((1 << 30) * 8 * pivots))
+        drawn_ = low.groupBy("bucket").agg(drawn.alias("p")).select("bucket", F.explode("p").alias("p")).select("bucket", F.col("p.digest").alias("b"), F.col("p.group").alias("gb"))
+        shared = live.join(drawn_, "bucket").where("group <> gb").groupBy(F.col("digest").alias("a"), "b").agg(F.count("*").alias("n"))
+        found = links.add(shared.groupBy("a").agg(F.max_by("b", F.struct("n", F.xxhash64(F.lit(k), "b"), "b")).alias("b")))
+        live = links.open(live)
+        if not found and k:
             break
-        many = sized.where(F.col("n") > small).select("bucket", "digest", "group")
-        bands = unique.select("digest", F.explode("bands").alias("band"))
-        finer = many.join(bands, "digest").where("band <> bucket").select(F.xxhash64(F.least("bucket", "band"), F.greatest("bucket", "band")).alias("bucket"), "digest", "group").distinct()
-        level = _unlinked(finer).select("bucket", "digest", "group")
-    return edges
+    few = live.join(live.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") <= small).select("bucket"), "bucket")
+    left, right = (few.select("bucket", F.col("digest").alias(n), F.col("group").alias(f"g{n}")) for n in "ab")
+    links.add(left.join(right, "bucket").where("a < b AND ga <> gb").select("a", "b").distinct())
+    return links.edges
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
