@@ -80,8 +80,19 @@ def sparse(f: Features) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(ids).astype(np.int32), np.concatenate(vals).astype(np.float32)
 
 
+def _column(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column end to end, without an object for each row, and how many each row has."""
+    parts = [c for c in table.column(name).chunks if len(c)]
+    flat, size = [np.zeros(0, kind)], [np.zeros(0, np.int64)]
+    for c in parts:
+        off = np.frombuffer(c.buffers()[1], np.int32)[c.offset : c.offset + len(c) + 1].astype(np.int64) // np.dtype(kind).itemsize
+        flat.append(np.frombuffer(c.buffers()[2], kind)[off[0] : off[-1]] if off[-1] > off[0] else np.zeros(0, kind))
+        size.append(np.diff(off))
+    return np.concatenate(flat), np.concatenate(size)
+
+
 def rows_of(df: DataFrame, label: str, text: str = "text"):
-    """Features of a bounded sample on the driver: (labels, ids, values, offsets), in an order that doesn't depend on partitions."""
+    """Features of a bounded sample on the driver: (labels, ids, values, starts, sizes), in an order that doesn't depend on partitions."""
 
     def make(batches):
         for b in blocks(batches, text, 1):
@@ -89,24 +100,27 @@ def rows_of(df: DataFrame, label: str, text: str = "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["key", "label", "ids", "vals"])
 
     key = F.xxhash64(F.col("doc_id"), F.col(text)).alias("key")
-    got = df.select(key, F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(make, "key long, label int, ids binary, vals binary").toPandas()
-    got = got.sort_values(["key", "label"], kind="stable")
-    ids = [np.frombuffer(x, np.int32) for x in got.ids]
-    vals = [np.frombuffer(x, np.float32) for x in got.vals]
-    size = np.array([len(x) for x in ids], np.int64)
-    flat, values = (np.concatenate(ids), np.concatenate(vals)) if ids else (np.zeros(0, np.int32), np.zeros(0, np.float32))
-    often = (np.bincount(flat, minlength=SIZE) >= MIN_TEXTS)[flat] if len(ids) > 10 * MIN_TEXTS else np.ones(len(flat), bool)
-    off = np.concatenate([[0], np.cumsum(per_text(often.astype(np.int8), size))]).astype(np.int64)
-    return got.label.to_numpy(), flat[often], values[often], off
+    got = df.select(key, F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(make, "key long, label int, ids binary, vals binary").toArrow()
+    keys, labels = got.column("key").to_numpy(), got.column("label").to_numpy()
+    ids, size = _column(got, "ids", np.int32)
+    vals, _ = _column(got, "vals", np.float32)
+    del got
+    if len(labels) > 10 * MIN_TEXTS:
+        often = (np.bincount(ids, minlength=SIZE) >= MIN_TEXTS)[ids]
+        size = per_text(often.astype(np.int8), size)
+        ids, vals = ids[often], vals[often]
+    start = np.cumsum(size) - size
+    order = np.lexsort((size, labels, keys))
+    return labels[order], ids, vals, start[order], size[order]
 
 
 class Batch:
     """Some rows of a sparse matrix."""
 
-    def __init__(self, ids, vals, off, rows):
-        size = off[rows + 1] - off[rows]
+    def __init__(self, ids, vals, start, sizes, rows):
+        size = sizes[rows]
         ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(off[rows] - (ends - size), size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[rows] - (ends - size), size)
         self.row, self.n = np.repeat(np.arange(len(rows)), size), len(rows)
         self.vals = vals[at]
         self.own, self.at = np.unique(ids[at], return_inverse=True)

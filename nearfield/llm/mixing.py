@@ -25,7 +25,7 @@ from nearfield.storage import materialise
 #: Domains in order, and the share of tokens that the query asks for.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.95, "poor": 0.05, "toxic": 0.0}
-PER_DOMAIN = 3000
+PER_DOMAIN = 1500
 PASSES = 25
 CLOSE = 1e-4
 RIDGE = 1e-3
@@ -76,7 +76,7 @@ class Softmax:
     def posteriors(self, f: Features) -> np.ndarray:
         return self._posterior(f.scores(self.w))
 
-    def fit(self, y, ids, vals, off, share: np.ndarray, epochs: int = 15, batch: int = 128, rate: float = 1.0, decay: float = 3e-5, seed: int = 9) -> None:
+    def fit(self, y, sparse_rows, share: np.ndarray, epochs: int = 15, batch: int = 128, rate: float = 1.0, decay: float = 3e-5, seed: int = 9) -> None:
         """share: the domains' part of the labelled table; sampled rows are weighted to it, so that posteriors fit the table."""
         n, k = len(y), self.w.shape[1]
         if not n:
@@ -87,7 +87,7 @@ class Softmax:
             order = rng.permutation(n)
             for i in range(0, n, batch):
                 rows = order[i : i + batch]
-                b = Batch(ids, vals, off, rows)
+                b = Batch(*sparse_rows, rows)
                 g = self._posterior(np.stack([b.dot(self.w[:, j]) for j in range(k)], axis=1))
                 g[np.arange(len(rows)), y[rows]] -= 1
                 g *= (weight[rows] / len(rows))[:, None]
@@ -106,11 +106,11 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, k: int = len(DOMAINS),
     if not total or not k:
         return None
     sample = reduce(DataFrame.union, [bounded(labelled.where(F.col("domain") == d), "doc_id", per_domain) for d in range(k)])
-    y, ids, vals, off = rows_of(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "domain", "text"), "domain")
+    y, *rows = rows_of(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "domain", "text"), "domain")
     if not len(y):
         return None
     model = Softmax(k)
-    model.fit(y, ids, vals, off, np.array([counts.get(d, 0) / total for d in range(k)]))
+    model.fit(y, rows, np.array([counts.get(d, 0) / total for d in range(k)]))
     return model
 
 

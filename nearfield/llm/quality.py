@@ -50,7 +50,7 @@ class Ordinal:
         """P(grade >= j) for j = 1, 2, ... by column."""
         return _sigmoid(score[:, None] - self.thresholds[None, :])
 
-    def fit(self, y, ids, vals, off, epochs: int = 20, batch: int = 128, rate: float = 1.0, decay: float = 3e-5, seed: int = 3) -> None:
+    def fit(self, y, sparse_rows, epochs: int = 20, batch: int = 128, rate: float = 1.0, decay: float = 3e-5, seed: int = 3) -> None:
         rng, n = np.random.default_rng(seed), len(y)
         if not n:
             return
@@ -61,7 +61,7 @@ class Ordinal:
             order = rng.permutation(n)
             for i in range(0, n, batch):
                 rows = order[i : i + batch]
-                b = Batch(ids, vals, off, rows)
+                b = Batch(*sparse_rows, rows)
                 s = b.dot(self.w)
                 upper = np.concatenate([np.ones((len(rows), 1)), self.tails(s), np.zeros((len(rows), 1))], axis=1)
                 at = np.arange(len(rows))
@@ -90,11 +90,11 @@ def fit(docs: DataFrame, rated: DataFrame, n_grades: int = 3, per_grade: int = P
     sample = parts[0]
     for p in parts[1:]:
         sample = sample.union(p)
-    y, ids, vals, off = rows_of(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text"), "grade")
+    y, *rows = rows_of(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text"), "grade")
     if not len(y):
         return None
     model = Ordinal(n_grades)
-    model.fit(y, ids, vals, off)
+    model.fit(y, rows)
     return model
 
 
