@@ -5,8 +5,9 @@ process whose rate is its weight; each arrival goes to a random register, and a
 texts agree with the probability Jaccard similarity of their weights. A process is followed no further than the latest register
 value so far, since later arrivals can change nothing.
 
-Candidates share all registers of a band. They are linked in rounds whose work follows the number of texts, never the number of
-pairs in a bucket (see ``link``), and a link counts only after the exact similarity has been computed.
+Candidates share all registers of a band. Rounds whose work follows the number of texts connect most of a group of copies, and
+what they leave open is compared in full, by pairs in small buckets and by bounded chunks in large ones (see ``link``). A link
+counts only after the exact similarity has been computed.
 """
 
 from __future__ import annotations
@@ -28,9 +29,11 @@ REGISTERS = BANDS * ROWS
 SLACK = 5 * (THRESHOLD * (1 - THRESHOLD) / REGISTERS) ** 0.5
 #: Up to this size, every pair of a bucket that the rounds leave unconnected is compared.
 SMALL_BUCKET = 64
-#: Pivots of a bucket in a round; rounds go on while they find links, at most so many.
+#: Pivots of a bucket in a round, and rounds at most; they save comparisons but decide nothing.
 PIVOTS = 3
-ROUNDS = 6
+ROUNDS = 3
+#: Texts of a chunk; two chunks are compared in one task.
+CHUNK = 256
 
 
 def _uniform(h: np.ndarray) -> np.ndarray:
@@ -235,14 +238,70 @@ class _Links:
         return materialise(_unlinked(_with_groups(entries.select("bucket", "digest"), self.roots)).select("bucket", "digest", "group"), "near-live")
 
 
+def _in_chunks(entries: DataFrame, links: _Links) -> DataFrame:
+    """(a, b) edges between all texts of large open buckets, a spanning set of them: every two groups are compared in full.
+
+    Texts that share such buckets, directly or through others, form a cluster. A cluster is dealt to chunks, large groups to
+    chunks of their own, and each pair of chunks but those of one group is one task's work: registers first, then the exact
+    similarity from the most alike pair down, leaving out what is connected by then. A task returns no more edges than texts.
+    """
+    star = entries.join(entries.groupBy("bucket").agg(F.min("digest").alias("low")), "bucket").select(F.col("digest").alias("a"), F.col("low").alias("b"))
+    clusters = components(star).select(F.col("node").alias("digest"), F.col("root").alias("cluster"))
+    texts = materialise(entries.select("digest", "group").distinct().join(clusters, "digest"), "near-cluster")
+    sizes = texts.groupBy("cluster", "group").agg(F.count("*").alias("n")).withColumn("own", F.when(F.col("n") >= CHUNK // 2, F.col("group")))
+    room = sizes.groupBy("cluster", "own").agg(F.sum("n").alias("m")).select(F.col("cluster").alias("rc"), F.col("own").alias("ro"), F.ceil(F.col("m") / CHUNK).alias("chunks"))
+    dealt = texts.join(sizes.select("cluster", "group", "own"), ["cluster", "group"])
+    dealt = dealt.join(room, (F.col("cluster") == F.col("rc")) & F.col("own").eqNullSafe(F.col("ro")))
+    dealt = materialise(dealt.select("cluster", "digest", "group", "own", F.xxhash64("own", F.pmod(F.xxhash64(F.lit(3), "digest"), F.col("chunks"))).alias("chunk")), "near-chunks")
+    chunk = dealt.select("cluster", "own", "chunk").distinct()
+    left, right = (chunk.select("cluster", F.col("own").alias(f"o{i}"), F.col("chunk").alias(f"c{i}")) for i in (1, 2))
+    work = materialise(left.join(right, "cluster").where("c1 <= c2 AND NOT coalesce(o1 = o2, false)").select("cluster", "c1", "c2"), "near-work")
+    side = lambda c: work.select("cluster", F.col(c).alias("chunk"), "c1", "c2", F.lit(c == "c2").alias("second"))
+    both = side("c1").where("c1 <> c2").union(side("c2"))
+    rows = dealt.select("cluster", "chunk", "digest", "group").join(both, ["cluster", "chunk"])
+    rows = rows.join(links.unique.select("digest", "registers"), "digest").join(links.shingles.select(F.col("id").alias("digest"), "keys", "counts"), "digest")
+    threshold = links.threshold
+
+    def compare(table: pa.Table) -> pa.Table:
+        ids, group = table.column("digest").to_numpy(), table.column("group").to_pylist()
+        reg = np.stack([np.frombuffer(x, np.uint16) for x in table.column("registers").to_pylist()])
+        keys = [np.frombuffer(x, U64) for x in table.column("keys").to_pylist()]
+        counts = [np.frombuffer(x, np.uint32) if x else np.ones(len(k), np.uint32) for x, k in zip(table.column("counts").to_pylist(), keys, strict=True)]
+        second = table.column("second").to_numpy()
+        one, two = (np.flatnonzero(~second), np.flatnonzero(second)) if not second.all() else (np.arange(len(ids)),) * 2
+        found = []
+        for i in one.tolist():
+            share = (reg[two] == reg[i]).mean(axis=1)
+            at = np.flatnonzero(share >= threshold - SLACK)
+            found += [(-float(share[j]), i, int(two[j])) for j in at if group[i] != group[two[j]]]
+        parent = {g: g for g in group}
+
+        def find(g):
+            while parent[g] != g:
+                parent[g] = parent[parent[g]]
+                g = parent[g]
+            return g
+
+        edges = []
+        for _, i, j in sorted(found):
+            x, y = find(group[i]), find(group[j])
+            if x != y and similarity(keys[i], counts[i], keys[j], counts[j]) >= threshold:
+                parent[x] = y
+                edges.append((int(ids[i]), int(ids[j])))
+        cols = list(zip(*edges, strict=True)) or [[], []]
+        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64())})
+
+    return materialise(rows.drop("chunk").groupBy("cluster", "c1", "c2").applyInArrow(compare, "a long, b long"), "near-edges")
+
+
 def link(unique: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, pivots: int = PIVOTS, small: int = SMALL_BUCKET) -> DataFrame:
-    """(a, b) edges that connect distinct texts with a similarity of the threshold or more.
+    """(a, b) edges that connect all distinct texts that share a bucket and have a similarity of the threshold or more.
 
     A round draws a few pivots in each open bucket and compares every text with that pivot of another group with which it
-    shares most bands, the likeliest link; buckets all of whose texts are connected then close. Rounds go on while they find
-    links, so a group of copies is connected at a cost that follows its size and not its square. What stays open are mostly
-    texts that share a band by chance or through a common passage: in buckets of up to ``small`` texts, every pair from
-    different groups is compared. In larger ones, a text that none of the rounds links to its best pivots is taken for unlike.
+    shares most bands, the likeliest link; buckets all of whose texts are connected then close. So most of a group of copies
+    is connected at a cost that follows its size and not its square. In the buckets that stay open, mostly of texts that share
+    a band by chance or through a common passage, every two texts of different groups are compared: as pairs in buckets of up
+    to ``small`` texts, chunk by chunk in larger ones.
     """
     links = _Links(unique, shingles, threshold)
     live = links.open(unique.select(F.explode("bands").alias("bucket"), "digest"))
@@ -257,12 +316,16 @@ def link(unique: DataFrame, shingles: DataFrame, threshold: float = THRESHOLD, r
         shared = live.join(drawn_, "bucket").where("group <> gb").groupBy(F.col("digest").alias("a"), "b").agg(F.count("*").alias("n"))
         found = links.add(shared.groupBy("a").agg(F.max_by("b", F.struct("n", F.xxhash64(F.lit(k), "b"), "b")).alias("b")))
         live = links.open(live)
-        if not found and k:
+        if not found:
             break
-    few = live.join(live.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") <= small).select("bucket"), "bucket")
+    sized = live.join(live.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    few = sized.where(F.col("n") <= small)
     left, right = (few.select("bucket", F.col("digest").alias(n), F.col("group").alias(f"g{n}")) for n in "ab")
     links.add(left.join(right, "bucket").where("a < b AND ga <> gb").select("a", "b").distinct())
-    return links.edges
+    many = links.open(sized.where(F.col("n") > small))
+    if not many.limit(1).count():
+        return links.edges
+    return links.edges.union(_in_chunks(many, links))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
