@@ -32,6 +32,22 @@ def substitute(value: Any, known: dict[str, Any]) -> Any:
     return value
 
 
+def load_definitions(path: str, point_type: str = "float", metric: str = "any") -> list[dict[str, Any]]:
+    """Run groups of a YAML configuration: of the point type, for any metric and for this one; a later algorithm replaces one of its name."""
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError("reading YAML needs the yaml package") from e
+    with open(path, encoding="utf-8") as f:
+        groups = yaml.safe_load(f).get(point_type, {})
+    by_name = {a["name"]: a for a in [*groups.get("any", []), *(groups.get(metric, []) if metric != "any" else [])]}
+    out = []
+    for name, a in by_name.items():
+        for group in a.get("run_groups", {}).values():
+            out.append({"name": name, "disabled": a.get("disabled", False), "args": group.get("args", []), "query_args": group.get("query_args", [])})
+    return out
+
+
 def definitions(spark: SparkSession, algorithms: list[dict[str, Any]], known: dict[str, Any]) -> DataFrame:
     """(algorithm, arguments, query_arguments, disabled) for each algorithm's build grid and its groups of search arguments."""
     rows = []

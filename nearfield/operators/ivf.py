@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nearfield.functions.distance import metric
@@ -37,6 +37,15 @@ class Ivf:
         found = lists.select("list_id", "id", F.col("embedding").alias("v_")).join(self.route(queries, probes), "list_id")
         return top_k(found.select("qid", "id", metric(self.name)(F.col("v_"), F.col("embedding")).alias("dist")), k)
 
+    def save(self, path: str) -> None:
+        """Keep the index: lists sorted by their number, so that a search reads only row groups of the lists it visits."""
+        self.centroids.write.mode("overwrite").parquet(f"{path}/centroids")
+        self.lists.repartition("list_id").sortWithinPartitions("list_id").write.mode("overwrite").parquet(f"{path}/lists")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str, name: str) -> Ivf:
+        return Ivf(spark.read.parquet(f"{path}/centroids"), spark.read.parquet(f"{path}/lists"), name)
+
     def candidates(self, queries: DataFrame, probes: int) -> DataFrame:
         """(qid, n): distances that a search computes."""
         sizes = self.lists.groupBy("list_id").agg(F.count("*").alias("n"))
