@@ -206,7 +206,7 @@ def dataset_summary(spark, sf_dir):
 
 @query("index_summary", f"WITH {FACTS} SELECT count(recall) AS n, round(avg(recall), 9) AS mean_recall, count(*) FILTER (recall = 1.0) AS n_perfect, count(*) FILTER (recall < 1.0) AS n_less FROM facts WHERE selectivity < 0.25")
 def index_summary(spark, sf_dir):
-    return rounded(curves.index_summary(facts(spark, sf_dir), 0.25), "mean_recall")
+    return rounded(curves.index_summary(facts(spark, sf_dir), 0.25), "mean_recall", digits=9)
 
 
 @query("facts_with_statistics", f"""WITH {FACTS}, s AS (SELECT query_id, algorithm, build, search, avg(correlation) AS c FROM facts WHERE k = 10 GROUP BY ALL)
