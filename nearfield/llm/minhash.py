@@ -1,9 +1,9 @@
 """Near-duplicate documents by ProbMinHash over weighted word shingles.
 
-A text's shingles are its runs of five folded words, weighted by how often they occur. Every shingle is the source of a Poisson
-process whose rate is its weight; each arrival goes to a random register, and a register keeps the earliest. Registers of two
-texts agree with the probability Jaccard similarity of their weights. A process is followed no further than the latest register
-value so far, since later arrivals can change nothing.
+A text's shingles are its runs of five words of letters and digits in lower case (ASCII signs part words), weighted by how
+often they occur. Every shingle is the source of a Poisson process whose rate is its weight; each arrival goes to a random
+register, and a register keeps the earliest. Registers of two texts agree with the probability Jaccard similarity of their
+weights. A process is followed no further than the latest register value so far, since later arrivals can change nothing.
 
 Candidates share all registers of a band. Rounds whose work follows the number of texts connect most of a group of copies, and
 what they leave open is compared in full, by pairs in small buckets and by bounded chunks in large ones (see ``link``). A link
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.text import FOLDED, U64, Words, blocks, mix, per_text, windows
+from nearfield.llm.text import FOLDED_WITH_DIGITS, U64, Words, blocks, mix, per_text, windows
 from nearfield.operators.components import components
 from nearfield.storage import materialise
 
@@ -46,7 +46,7 @@ def shingle_counts(col: pa.Array, n: int = SHINGLE) -> tuple[np.ndarray, np.ndar
 
     A text of fewer than n words, but one at least, has one shingle made of all of them; without words it has none.
     """
-    w = Words(col, FOLDED)
+    w = Words(col, FOLDED_WITH_DIGITS)
     h = w.hashes()
     keys, at = windows(h, w.per, n)
     texts = w.text_of()

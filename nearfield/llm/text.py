@@ -22,6 +22,9 @@ _POWERS: list[np.ndarray] = []
 #: Byte table that lowers ASCII letters and turns other ASCII signs and digits into blanks.
 FOLDED = np.array([c if c >= 128 else ord(chr(c).lower()) if chr(c).isalpha() else 10 if c == 10 else 0x20 for c in range(256)], np.uint8)
 
+#: The same, but digits stay.
+FOLDED_WITH_DIGITS = np.array([c if chr(c).isdigit() and c < 128 else f for c, f in enumerate(FOLDED.tolist())], np.uint8)
+
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n at least."""
