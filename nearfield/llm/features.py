@@ -97,14 +97,15 @@ def rows_of(df: DataFrame, label: str, text: str = "text"):
     def make(batches):
         for b in blocks(batches, text, 1):
             ids, values = sparse(Features(b.column(2)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ids.tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], ["key", "label", "ids", "vals"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ids.tobytes()], pa.binary()), pa.array([values.astype(np.float16).tobytes()], pa.binary())], ["key", "label", "ids", "vals"])
 
     key = F.xxhash64(F.col("doc_id"), F.col(text)).alias("key")
     got = df.select(key, F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(make, "key long, label int, ids binary, vals binary").toArrow()
     keys, labels = got.column("key").to_numpy(), got.column("label").to_numpy()
     ids, size = _column(got, "ids", np.int32)
-    vals, _ = _column(got, "vals", np.float32)
+    vals, _ = _column(got, "vals", np.float16)
     del got
+    pa.default_memory_pool().release_unused()
     if len(labels) > 10 * MIN_TEXTS:
         often = (np.bincount(ids, minlength=SIZE) >= MIN_TEXTS)[ids]
         size = per_text(often.astype(np.int8), size)
@@ -122,7 +123,7 @@ class Batch:
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[rows] - (ends - size), size)
         self.row, self.n = np.repeat(np.arange(len(rows)), size), len(rows)
-        self.vals = vals[at]
+        self.vals = vals[at].astype(np.float64)
         self.own, self.at = np.unique(ids[at], return_inverse=True)
 
     def dot(self, w: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ from nearfield.storage import materialise
 #: Domains in order, and the share of tokens that the query asks for.
 DOMAINS = ("clean", "poor", "toxic")
 TARGETS = {"clean": 0.95, "poor": 0.05, "toxic": 0.0}
-PER_DOMAIN = 1500
+PER_DOMAIN = 700
 PASSES = 25
 CLOSE = 1e-4
 RIDGE = 1e-3

@@ -16,7 +16,7 @@ from nearfield.llm.samples import bounded
 from nearfield.llm.text import blocks
 
 #: Rows of each grade that are learned, at most about.
-PER_GRADE = 3000
+PER_GRADE = 2000
 TAIL_GRADE = 2
 MIN_TAIL = 0.4
 
