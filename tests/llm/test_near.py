@@ -186,6 +186,34 @@ def test_removed_lines_equal_brute_force(spark, seed):
             assert kept[i].text == left
 
 
+def test_lines_at_the_threshold_are_found(spark):
+    rng = random.Random(7)
+    docs, want = [], []
+    for n in (4, 5, 6, 9, 10, 14, 15, 20, 45, 100, 300):
+        for _ in range(6):
+            w = text_of(rng, n).split(" ")
+            other = list(w)
+            d = (n + 1) // 5 if n % 5 == 4 else n // 5
+            at = rng.sample(range(n), d)
+            if n % 5 == 4:  # a word more makes one more edit possible
+                other.insert(rng.randrange(n + 1), "more")
+                at = at[1:]
+            for i in at:
+                other[i if other[i] != "more" else i + 1] = "edit" + str(rng.randrange(10**6))
+            if edits(w, other) <= 0.2 * max(len(w), len(other)) + 1e-9:
+                docs.append((len(docs), " ".join(w) + "\n" + " ".join(other)))
+                want.append([1])
+    got = lines.report(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()
+    assert len(docs) > 50 and [r.removed_lines for r in got] == want
+
+
+def test_common_pairs_change_no_result(spark, monkeypatch):
+    docs = spark.createDataFrame(list(enumerate(line_docs(3))), "doc_id long, text string")
+    before = sorted(map(str, lines.report(docs).collect()))
+    monkeypatch.setattr(lines, "SAMPLE", 1)
+    assert any(lines._common_pairs(docs, "text", 1)) and sorted(map(str, lines.report(docs).collect())) == before
+
+
 def test_lines_of_odd_tables(spark):
     kind = "doc_id long, text string, n_chars long, pos int"
     rows = [(None, "a b c d", 7, 1), (1, "a b c d\nzz yy xx", 16, 1), (1, "a b c d\nzz yy xx", 16, 1), (2, "zz yy xx", 8, 1)]
