@@ -207,6 +207,12 @@ def test_lines_at_the_threshold_are_found(spark):
     assert len(docs) > 50 and [r.removed_lines for r in got] == want
 
 
+def test_short_lines_are_removed(spark):
+    texts = ["Menu\nRead more", "read MORE!\n\nmenu\n--\nother", "無空白的一行文字\n\n--", "無空白的一行文字\nread less"]
+    got = lines.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.removed_lines for r in got] == [[], [0, 2], [], [0]]
+
+
 def test_common_pairs_change_no_result(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(line_docs(3))), "doc_id long, text string")
     before = sorted(map(str, lines.report(docs).collect()))
