@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nearfield.functions import names
 from nearfield.operators import curves, datasets, grid, runs
-from nearfield.operators.components import components
+from nearfield.operators.components import components, contractions
 from nearfield.sources import files, tables
 from nearfield.streaming import static_index
 
@@ -61,6 +61,15 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_rounds_of_components(spark):
+    chain = spark.range(1000).selectExpr("id AS a", "id + 1 AS b")
+    assert len(contractions(chain)) <= 12
+    assert components(chain).agg(F.min("root"), F.max("root"), F.count("*")).first() == (0, 0, 1001)
+    star = spark.range(1, 2000).selectExpr("id AS a", "0L AS b")
+    assert len(contractions(star)) <= 2
+    assert components(star, least=False).select("root").distinct().count() == 1
+
+
 def test_runs_are_partitioned(spark, tmp_path):
     df = spark.createDataFrame([("small", 0, 1, 10, "x", 0, 0.5), ("small", 1, 1, 10, "x", 0, 0.7)], "size string, att_idx int, filter_id int, k int, algorithm string, qid int, dist double")
     path = str(tmp_path / "runs")
