@@ -36,6 +36,20 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
+    """Write df to the shared folder in buckets by a hash of key; groups and joins on key then read them without a shuffle.
+
+    The catalogue holds the table only until it has been resolved; its files stay until ``cleanup``.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, name)
+    table = f"{name}_{uuid.uuid4().hex[:12]}"
+    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(buckets, key).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every intermediate table of this application; call it once results have been written."""
     jvm = spark.sparkContext._jvm
