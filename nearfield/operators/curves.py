@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -108,6 +110,27 @@ def with_statistics(facts: DataFrame, statistics: DataFrame, keys: list[str]) ->
     return filled(facts).join(right, keys, "left")
 
 
+def lookup(statistics: DataFrame, **equal) -> DataFrame:
+    """The first row, in the order of all its columns, that has these values; a column that the table lacks is not asked for."""
+    rows = statistics
+    for name, value in equal.items():
+        if name in statistics.columns:
+            rows = rows.where(F.col(name).eqNullSafe(F.lit(value)))
+    return rows.orderBy(*statistics.columns).limit(1)
+
+
+def mean_of_columns(wide: DataFrame, columns: list[str], by: list[str], alias: str) -> DataFrame:
+    """Means by ``by`` of the row means of some columns; a null column is left out of its row's mean, a row of nulls of all."""
+    known = F.filter(F.array(*[F.col(c).cast("double") for c in columns]), lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda s, x: s + x) / F.nullif(F.size(known), F.lit(0))
+    return wide.groupBy(*by).agg(F.avg(total).alias(alias))
+
+
+def union_of(parts: list[DataFrame]) -> DataFrame:
+    """Results of several filters or datasets under one another; a column that a part lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def in_preferred_order(df: DataFrame, preferred: list[str]) -> DataFrame:
     """The preferred columns first, as far as there are any, then the others."""
     first = [c for c in preferred if c in df.columns]

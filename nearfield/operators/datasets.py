@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -58,17 +60,16 @@ def tfidf_terms(docs: DataFrame) -> DataFrame:
     return both.select("doc_id", "term", (F.col("tf") * (F.log((F.col("n_docs") + 1) / (F.col("df") + 1)) + 1)).alias("tfidf"))
 
 
-def random_projection(terms: DataFrame, dim: int, seed: int = 1) -> DataFrame:
-    """(doc_id, embedding): term weights times a Gaussian matrix whose rows follow from the term, so it is never stored."""
+def _gaussian(term: Column, i: int, seed: int) -> Column:
+    """A standard normal number that follows from the term and i (Box and Muller's transform of two hashes)."""
+    u = lambda k: (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(2 * i + k), term), 11) + 1) / F.lit(float(1 << 53))
+    return F.sqrt(F.log(u(0)) * -2) * F.cos(u(1) * (2 * math.pi))
 
-    @F.pandas_udf("array<double>")
-    def rows(h: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng([seed, int(x) & 0x7FFFFFFFFFFFFFFF]).standard_normal(dim) / np.sqrt(dim) for x in h])
 
-    known = terms.select("term").distinct().withColumn("row", rows(F.xxhash64("term")))
-    flat = terms.join(known, "term").select("doc_id", F.posexplode("row").alias("i", "x"), "tfidf")
-    sums = flat.groupBy("doc_id", "i").agg(F.sum(F.col("x") * F.col("tfidf")).alias("x"))
-    return sums.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("embedding"))
+def random_projection(terms: DataFrame, dim: int, seed: int = 1) -> DataFrame:
+    """(doc_id, embedding): term weights times a Gaussian matrix whose rows follow from the term, so it is never stored."""
+    sums = [F.sum(F.col("tfidf") * _gaussian(F.col("term"), i, seed)).alias(f"x{i}") for i in range(dim)]
+    return terms.groupBy("doc_id").agg(*sums).select("doc_id", F.array(*[F.col(f"x{i}") / math.sqrt(dim) for i in range(dim)]).alias("embedding"))
 
 
 def factorised(ratings: DataFrame, rank: int = 16, seed: int = 1) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfield.operators.curves import union_of
+
 #: Partition columns of stored results, outermost first.
 PARTITIONS = ["size", "att_idx", "filter_id", "k", "algorithm"]
 
@@ -42,15 +44,25 @@ def store_sets(sets: DataFrame, path: str) -> None:
     sets.withColumn("elements", F.array_sort("elements")).write.mode("overwrite").parquet(path)
 
 
-def scan_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, length) of every file below root whose name fits."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select("path", "length")
+def scan_files(spark: SparkSession, root: str, pattern: str = "*", batch: bool | None = None) -> DataFrame:
+    """(path, length, modified, batch) of every file below root whose name fits; with ``batch``, only those of runs in that mode.
+
+    A run is in batch mode if the last directory of its path ends in "-batch". Contents are not read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    found = files.select("path", "length", F.col("modificationTime").alias("modified"), F.coalesce(F.try_element_at(F.split("path", "/"), F.lit(-2)).endswith("-batch"), F.lit(False)).alias("batch"))
+    return found if batch is None else found.where(F.col("batch") == batch)
 
 
 def export_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").csv(path)
 
 
+def export_all(datasets: dict[str, DataFrame], path: str) -> None:
+    """The metrics of every dataset in one CSV folder, with the dataset's name; columns that one lacks are empty there."""
+    export_csv(union_of([d.withColumn("dataset", F.lit(name)) for name, d in sorted(datasets.items())]), path)
+
+
 def scan_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.csv(path, header=True, schema=schema)
 

@@ -66,12 +66,16 @@ def definitions_available(spark, sf_dir):
     return grid.available(defs, spark.createDataFrame([("ivf",), ("other",)], "algorithm string"))
 
 
-@query("file_name_parameters", """SELECT 'x/results/fid' || (l_orderkey % 7) || '/10/algo/M_' || l_linenumber || '_efConstruction_25_' || l_suppkey || '.hdf5' AS path,
-    CAST(l_linenumber AS INTEGER) AS build, CAST(l_suppkey AS INTEGER) AS search, 'algo' AS algorithm FROM lineitem WHERE l_orderkey < 200""")
+@query("file_name_parameters", """SELECT 'x/results/fid' || (l_orderkey % 7) || '/10/algo/' || CASE l_orderkey % 4
+    WHEN 0 THEN 'M_' || l_linenumber || '_efConstruction_25_' || l_suppkey WHEN 1 THEN 'efConstruction_25_M_' || l_linenumber || '_x_' || l_suppkey
+    WHEN 2 THEN 'nlist_' || l_linenumber || '_x_' || l_suppkey ELSE 'x_' || l_linenumber || '_' || l_suppkey END || '.hdf5' AS path,
+    CAST(l_linenumber AS INTEGER) AS build, CAST(l_suppkey AS INTEGER) AS search, 'algo' AS algorithm FROM lineitem""")
 def file_name_parameters(spark, sf_dir):
-    r = table(spark, sf_dir, "lineitem").where("l_orderkey < 200")
-    p = F.concat(F.lit("x/results/fid"), F.col("l_orderkey") % 7, F.lit("/10/algo/M_"), F.col("l_linenumber"), F.lit("_efConstruction_25_"), F.col("l_suppkey"), F.lit(".hdf5"))
-    d = r.select(p.alias("path"))
+    form, build, search = F.col("l_orderkey") % 4, F.col("l_linenumber"), F.col("l_suppkey")
+    name = F.when(form == 0, F.concat(F.lit("M_"), build, F.lit("_efConstruction_25_"), search)).when(form == 1, F.concat(F.lit("efConstruction_25_M_"), build, F.lit("_x_"), search))
+    name = name.when(form == 2, F.concat(F.lit("nlist_"), build, F.lit("_x_"), search)).otherwise(F.concat(F.lit("x_"), build, F.lit("_"), search))
+    p = F.concat(F.lit("x/results/fid"), F.col("l_orderkey") % 7, F.lit("/10/algo/"), name, F.lit(".hdf5"))
+    d = table(spark, sf_dir, "lineitem").select(p.alias("path"))
     return d.select("path", names.parameter(F.col("path"), "build").alias("build"), names.parameter(F.col("path"), "search").alias("search"), names.path_level(F.col("path"), 2).alias("algorithm"))
 
 
@@ -226,3 +230,25 @@ def selectivity_labels(spark, sf_dir):
 @query("algorithms_in_use", f"WITH {FACTS} SELECT DISTINCT algorithm FROM facts")
 def algorithms_in_use(spark, sf_dir):
     return facts(spark, sf_dir).select("algorithm").distinct()
+
+
+@query("statistics_lookup", f"""WITH {FACTS} SELECT query_id, algorithm, build, search, k, round(recall, 6) AS recall, round(runtime, 6) AS runtime FROM facts
+    WHERE query_id = 'qm0002' AND algorithm = 'two-hnsw' AND k = 10 ORDER BY query_id, algorithm, build, search, k, recall, runtime LIMIT 1""")
+def statistics_lookup(spark, sf_dir):
+    f = facts(spark, sf_dir).select("query_id", "algorithm", "build", "search", "k", "recall", "runtime")
+    return rounded(curves.lookup(f, query_id="qm0002", algorithm="two-hnsw", k=10, clusters=5), "recall", "runtime")
+
+
+@query("mean_over_builds", f"""WITH {FACTS}, m AS (SELECT k, selectivity, build, avg(recall) AS r FROM facts GROUP BY ALL),
+    w AS (SELECT k, selectivity, max(r) FILTER (build = 5) AS a, max(r) FILTER (build = 10) AS b, max(r) FILTER (build = 15) AS c FROM m GROUP BY k, selectivity)
+    SELECT k, round(avg((coalesce(a, 0) + coalesce(b, 0) + coalesce(c, 0)) / nullif((a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::INT, 0)), 6) AS recall FROM w GROUP BY k""")
+def mean_over_builds(spark, sf_dir):
+    w = facts(spark, sf_dir).groupBy("k", "selectivity").pivot("build", [5, 10, 15]).agg(F.avg("recall"))
+    return rounded(curves.mean_of_columns(w, ["5", "10", "15"], ["k"], "recall"), "recall")
+
+
+@query("union_of_filters", f"""WITH {FACTS} SELECT filter_id, algorithm, build, CAST(count(*) AS BIGINT) AS n FROM (
+    SELECT filter_id, algorithm, build FROM facts WHERE filter_id = 0 UNION ALL SELECT filter_id, algorithm, NULL AS build FROM facts WHERE filter_id = 1) GROUP BY ALL""")
+def union_of_filters(spark, sf_dir):
+    f = facts(spark, sf_dir).select("filter_id", "algorithm", "build")
+    return curves.union_of([f.where("filter_id = 0"), f.where("filter_id = 1").drop("build")]).groupBy("filter_id", "algorithm", "build").agg(F.count("*").alias("n"))

@@ -31,9 +31,9 @@ def train(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
 
 
-def probes(spark: SparkSession, sf_dir: str, n: int = 10) -> DataFrame:
-    """The query set: vectors with an id below n; each is its own nearest neighbour."""
-    return train(spark, sf_dir).where(F.col("id") < n).select(F.col("id").alias("qid"), "embedding")
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The query set: every hundredth vector; each is its own nearest neighbour."""
+    return train(spark, sf_dir).where(F.col("id") % 100 == 0).select(F.col("id").alias("qid"), "embedding")
 
 
 #: Result facts made from lineitem by fixed rules.
