@@ -16,14 +16,16 @@ from pyspark.sql import functions as F
 from nearfield.llm.samples import bounded
 from nearfield.storage import materialise
 
-PARTS = 16
-SAMPLE = 4000
+#: Parts: at least so many, then one more for so many rows, up to a bound; and sampled vectors for each.
+PARTS, PART_ROWS, MOST_PARTS = 16, 100_000, 256
+SAMPLE_OF_PART = 250
 GRAPH_DEGREE = 10
 CALIBRATION = 256
 TARGET = 0.95
-#: Rows of a part that one task ranks at once, and queries of a block.
+#: Rows of a part and queries that meet in one task, and queries that it ranks at once.
 SHARD_ROWS = 8192
-QUERY_BLOCK = 1024
+QUERY_BLOCK = 16_384
+AT_ONCE = 1024
 #: Above the rounding error of a product of unit vectors.
 _NEAR = 1e-9
 
@@ -42,9 +44,13 @@ def matrix(col: pa.Array) -> np.ndarray:
     return values.reshape(len(col), -1) if len(col) else np.zeros((0, 0))
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """Vectors divided by the power of two above their largest component: exact, and squares neither overflow nor vanish."""
+    return np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True))[1])
+
+
 def unit(v: np.ndarray) -> np.ndarray:
-    big = np.abs(v).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-    w = v / big
+    w = scaled(v)
     return w / np.sqrt((w * w).sum(axis=1, keepdims=True))
 
 
@@ -167,6 +173,7 @@ def nearest(q: np.ndarray, q_ids: np.ndarray, v: np.ndarray, v_ids: np.ndarray,
     kth = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
     qi, vi = np.nonzero((s >= kth[:, None] - _NEAR) & np.isfinite(s))
     exact = np.empty(len(qi))
+    q, v = scaled(q), scaled(v)
     qn, vn = np.sqrt((q * q).sum(axis=1)), np.sqrt((v * v).sum(axis=1))
     for i in range(0, len(qi), 65536):
         a, b = qi[i : i + 65536], vi[i : i + 65536]
@@ -216,14 +223,18 @@ def calibrate(index: DataFrame, router: Router, k: int, target: float = TARGET,
     return min(visit, n_parts), float(share[min(visit, n_parts) - 1])
 
 
-def build(vectors: DataFrame, parts: int = PARTS, sample: int = SAMPLE) -> tuple[DataFrame, Router | None]:
+def build(vectors: DataFrame, parts: int | None = None, sample: int | None = None) -> tuple[DataFrame, Router | None]:
     """(vec_id, embedding, part) for every usable row, written to the shared folder, and the router.
 
+    The number of parts follows the number of rows, unless it is given; the sample follows the number of parts, and both are bounded.
+
     vec_id and embedding are the columns used. Null ids take no part. All vectors must have the dimension that most have;
     others take no part either.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable("embedding") & F.col("vec_id").isNotNull())
     dims = rows.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    parts = parts or min(MOST_PARTS, max(PARTS, dims[0]["count"] // PART_ROWS if dims else 0))
+    sample = sample or parts * SAMPLE_OF_PART
     if not dims:
         return rows.withColumn("part", F.lit(0)), None
     rows = rows.where(F.size("embedding") == dims[0]["d"])
@@ -244,7 +255,7 @@ def search(index: DataFrame, router: Router, queries: DataFrame, k: int, visit:
     """query_id, rank, vec_id, score: the k nearest found for each query (vec_id, embedding), itself left out.
 
     Rows of a part are dealt to shards of bounded size and queries to blocks; a task ranks one block against one shard. Fewer
-    than k rows for a query only if its parts hold fewer. Repeated rows of the index count each, repeated queries once.
+    than k rows for a query only if its parts hold fewer (see ``find``). Repeated rows of the index count each, repeated queries once.
     """
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast((router, visit))
@@ -272,20 +283,35 @@ def search(index: DataFrame, router: Router, queries: DataFrame, k: int, visit:
         qid, vid = left.column("vec_id").to_numpy(), right.column("vec_id").to_numpy()
         if not len(qid) or not len(vid):
             return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        qi, near, score = nearest(matrix(left.column("embedding").combine_chunks()), qid, matrix(right.column("embedding").combine_chunks()), vid, k)
-        return pa.table({"query_id": qid[qi], "vec_id": near, "score": score})
+        q, v = matrix(left.column("embedding").combine_chunks()), matrix(right.column("embedding").combine_chunks())
+        out = [nearest(q[i : i + AT_ONCE], qid[i : i + AT_ONCE], v, vid, k) for i in range(0, len(qid), AT_ONCE)]
+        ids = [qid[i * AT_ONCE + qi] for i, (qi, _, _) in enumerate(out)]
+        return pa.table({"query_id": np.concatenate(ids), "vec_id": np.concatenate([x[1] for x in out]), "score": np.concatenate([x[2] for x in out])})
 
     found = q.groupBy(*keys).cogroup(v.groupBy(*keys)).applyInArrow(rank, "query_id long, vec_id long, score double")
     return _top(found, k).select("query_id", "rank", "vec_id", "score")
 
 
 def find(vectors: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """The k nearest of every row whose vec_id is divisible by ``every``, among all other rows."""
+    """The k nearest of every row whose vec_id is divisible by ``every``, among all other rows; all of them, if there are fewer.
+
+    A query whose parts hold fewer than k other rows is asked again in all parts. calibrated_recall is the share of true
+    neighbours that the visited parts held for the calibration vectors.
+    """
     index, router = build(vectors)
     if router is None:
-        return index.select(F.col("vec_id").alias("query_id"), F.col("part").alias("rank"), "vec_id", F.lit(0.0).alias("score"))
-    visit, _ = calibrate(index, router, k)
-    return search(index, router, index.where(F.pmod("vec_id", F.lit(every)) == 0), k, visit)
+        return index.select(F.col("vec_id").alias("query_id"), F.col("part").alias("rank"), "vec_id", F.lit(0.0).alias("score"), F.lit(1.0).alias("calibrated_recall"))
+    visit, share = calibrate(index, router, k)
+    queries = index.where(F.pmod("vec_id", F.lit(every)) == 0)
+    found = search(index, router, queries, k, visit)
+    if visit < len(router.p[3]):
+        found = materialise(found, "ann-found")
+        short = queries.select("vec_id", "embedding").join(found.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id")), "vec_id", "left_anti")
+        short = materialise(short, "ann-short")
+        if not short.isEmpty():
+            again = search(index, router, short, k, len(router.p[3]))
+            found = found.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").select(found.columns).union(again)
+    return found.withColumn("calibrated_recall", F.lit(share))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
