@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.storage import shared_path
+from nearfield.storage import materialise, shared_path
 
 PIECE = 1 << 18
 OUT = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean, payload binary"
@@ -34,14 +34,19 @@ def _clean(value: str) -> str:
     return " ".join(value.split())
 
 
-def record(page_id, url, payload: bytes, digest: str, refers_to, size: int) -> bytes:
+def record_id(page_id, digest: str, again: str = "") -> str:
+    """The id of a page's record; ``again`` sets further rows with the same page_id and payload apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}{again}')}>"
+
+
+def record(page_id, url, payload: bytes, digest: str, refers_to, size: int, again: str = "") -> bytes:
     """One record before compression; a revisit carries no block, only the size and digest of the payload it stands for."""
     kind = "response" if refers_to is None else "revisit"
     block = payload if refers_to is None else b""
     head = [
         "WARC/1.1",
         f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id}/{digest}')}>",
+        f"WARC-Record-ID: {record_id(page_id, digest, again)}",
         "WARC-Date: 1970-01-01T00:00:00Z",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"X-Payload-Length: {size}",
@@ -52,6 +57,7 @@ def record(page_id, url, payload: bytes, digest: str, refers_to, size: int) -> b
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
     if refers_to is not None:
+        head.append(f"WARC-Refers-To: {record_id(refers_to, digest)}")
         head.append(f"X-Refers-To-Page: {refers_to}")
         head.append("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
     head.append(f"Content-Length: {len(block)}")
@@ -120,9 +126,11 @@ def with_records(pages: DataFrame, least: int = 0) -> DataFrame:
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     base = pages.select("page_id", "url", payload.alias("payload"))
     base = base.withColumn("size", F.length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    top = base.where(F.col("size") >= least).groupBy("sha1", "size").agg(F.max("page_id").alias("top"))
+    each = base.groupBy("sha1", "size", "page_id").agg(F.count("*").alias("rows"))
+    top = each.groupBy("sha1", "size").agg(F.max(F.when(F.col("size") >= least, F.col("page_id"))).alias("top"), F.max("rows").alias("most"))
     refers = F.when(F.col("top").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("top")), F.col("top"))
-    return base.join(top, ["sha1", "size"], "left").withColumn("refers_to", refers)
+    alone = F.col("page_id").isNotNull() & (F.col("most") == 1)
+    return base.join(top, ["sha1", "size"], "left").withColumn("refers_to", refers).withColumn("alone", alone)
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: int = 64 << 20) -> DataFrame:
@@ -145,13 +153,14 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
 
         for batch in batches:
             cols = [batch.column(i) for i in range(batch.num_columns)]
-            for page_id, url, payload, size_of, sha, refers in zip(*(c.to_pylist() for c in cols), strict=True):
+            for page_id, url, payload, size_of, sha, refers, alone in zip(*(c.to_pylist() for c in cols), strict=True):
                 if out is None:
                     fs.create_dir(root, recursive=True)
                     path = f"{root}/_attempt-{attempt}-{k:04d}"
                     out, n, size = fs.open_output_stream(path, compression=None), 0, 0
                 digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                data = gzip_member(record(page_id, url, payload, digest, refers, size_of))
+                # a page's record is named by its page_id and digest; null page_ids, and ids that several rows have, by their place too
+                data = gzip_member(record(page_id, url, payload, digest, refers, size_of, "" if alone else f"/{part}/{k}/{n}"))
                 out.write(data)
                 n, size = n + 1, size + len(data)
                 if size >= file_bytes:
@@ -160,15 +169,15 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, file_bytes: in
         if out is not None:
             yield close()
 
-    rows = with_records(pages, least).select("page_id", "url", "payload", "size", "sha1", "refers_to")
+    rows = with_records(pages, least).select("page_id", "url", "payload", "size", "sha1", "refers_to", "alone")
     return rows.mapInArrow(write, "path string, records long")
 
 
 def read_archives(paths: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """Records of the archives named in ``paths.path``, each file read once from start to end.
 
-    digest_ok: the block's digest equals the header's (a revisit has no block; its header digest is checked against the
-    response's by ``verify``). Damaged members and wrong lengths raise ValueError.
+    digest_ok: the block's digest equals the header's; null for a revisit, which has no block (see ``verified``). Damaged members
+    and wrong lengths raise ValueError.
     """
 
     def read(batches):
@@ -184,7 +193,7 @@ def read_archives(paths: DataFrame, folder: str, payloads: bool = True) -> DataF
                         response = f["WARC-Type"] == "response"
                         size = len(block) if response else number("X-Payload-Length")
                         digest = sha1_base32(block) if response else told
-                        rows.append((number("X-Page-Id"), f.get("WARC-Target-URI"), f["WARC-Type"], number("X-Refers-To-Page"), size, digest, digest == told, block if payloads else None))
+                        rows.append((number("X-Page-Id"), f.get("WARC-Target-URI"), f["WARC-Type"], number("X-Refers-To-Page"), size, digest, digest == told if response else None, block if payloads else None))
                         held += len(block)
                         if len(rows) >= 2000 or held >= 8 << 20:
                             yield _batch(rows)
@@ -195,6 +204,18 @@ def read_archives(paths: DataFrame, folder: str, payloads: bool = True) -> DataF
     return paths.select("path").mapInArrow(read, OUT)
 
 
+def verified(records: DataFrame) -> DataFrame:
+    """records with digest_ok of revisits: whether the response that they refer to was read, sound and with their digest and length.
+
+    A response that a third of all records refer to is one row on its side of a join that Spark can split.
+    """
+    rest = [c for c in records.columns if c != "digest_ok"]
+    sound = records.where("record_type = 'response' AND digest_ok AND page_id IS NOT NULL")
+    sound = sound.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes", F.lit(True).alias("sound_")).distinct()
+    both = records.join(sound, ["refers_to", "payload_digest", "payload_bytes"], "left")
+    return both.select(*rest, F.when(F.col("record_type") == "revisit", F.coalesce("sound_", F.lit(False))).otherwise(F.col("digest_ok")).alias("digest_ok"))
+
+
 def _batch(rows) -> pa.RecordBatch:
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.binary()]
     names = [x.split()[0] for x in OUT.split(", ")]
@@ -209,7 +230,8 @@ def round_trip(pages: DataFrame, folder: str | None = None, least: int = 0) -> D
     index = f"{folder}-index"
     written.write.parquet(index)
     paths = spark.read.parquet(index)
-    return read_archives(paths.repartition(max(1, min(paths.count(), 10_000)), "path"), folder, payloads=False)
+    read = read_archives(paths.repartition(max(1, min(paths.count(), 10_000)), "path"), folder, payloads=False)
+    return verified(materialise(read.drop("payload"), "warc-records"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
