@@ -3,8 +3,8 @@
 For byte pair merging with ordered merges, the tokens of a prefix are the tokens of a shorter prefix and one last token, and
 two tokens may stand side by side exactly if no merge across their border comes due before both are complete. So the table
 of a pre-token holds, for each prefix, its last token and its count; one step looks back over the tokens that end there and
-takes the one that is compatible with the prefix before it. A text's table is the running sum over its pre-tokens. Truncation
-and budget questions are then look-ups.
+takes the one that is compatible with the prefix before it. A text's table is the running sum over its pre-tokens, and inside
+each the word's own table, closed at every character. Truncation and budget questions are then look-ups.
 """
 
 from __future__ import annotations
@@ -69,6 +69,9 @@ class PrefixCounter:
         self.final = {t[: -len(self.suffix)]: i for t, i in self.number.items() if t in sound and t.endswith(self.suffix)}
         self.longest = max(map(len, [*self.inner, *self.final]), default=0)
         self.known: dict[str, int] = {}
+        self.within: dict[str, np.ndarray] = {}
+        self.path = path
+        self.library = None
 
     def _symbols(self, token: str) -> list[str]:
         if token.endswith(self.suffix) and len(token) > len(self.suffix):
@@ -177,17 +180,31 @@ class PrefixCounter:
             return text.lower()
         return "".join([c.lower() for c in unicodedata.normalize("NFC", text)]) if _ODD.search(text) else unicodedata.normalize("NFC", text).lower()
 
+    def _pinned(self, text: str) -> list[str]:
+        """Pre-tokens by the library itself: code points that are new to one of several versions of Unicode count as it sees them."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        normal = self.library.normalizer.normalize_str(text)
+        return [normal[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(normal)]
+
+    def _plain(self, text: str) -> list[str]:
+        if text.isascii() or "".join(text.split()).isprintable():  # only assigned letters, digits and signs
+            return self.pattern.findall(self.normal(text))
+        return self._pinned(text)
+
     def pieces(self, text: str) -> list[str | None]:
         """Pre-tokens in order; None for a special token's string, which is one token."""
         if self.cut is None or not self.cut.search(text):
-            return self.pattern.findall(self.normal(text))
+            return self._plain(text)
         out: list[str | None] = []
         at = 0
         for m in self.cut.finditer(text):
-            out += self.pattern.findall(self.normal(text[at : m.start()]))
+            out += self._plain(text[at : m.start()])
             out.append(None)
             at = m.end()
-        return out + self.pattern.findall(self.normal(text[at:]))
+        return out + self._plain(text[at:])
 
     def counts(self, pieces: list[str | None]) -> np.ndarray:
         """Tokens of each pre-token."""
@@ -208,6 +225,40 @@ class PrefixCounter:
         """Count at the end of each pre-token of the whole text."""
         return np.cumsum(self.counts(self.pieces(text)))
 
+    def inside(self, piece: str | None) -> np.ndarray:
+        """Tokens of piece[:1], piece[:2], ... as the end of a text; one for the whole of a special token's string."""
+        if piece is None:
+            return np.ones(1, np.int64)
+        got = self.within.get(piece)
+        if got is None:
+            if len(self.within) > 200_000:
+                self.within.clear()
+            whole = all(self.pattern.findall(piece[:j]) == [piece[:j]] for j in range(1, min(len(piece), 4)))  # not so in 're, 'll and the like
+            plain = self.word_prefixes(piece) if whole else [int(sum(map(self.word_count, self.pattern.findall(piece[:j]))) if j < len(piece) else self.word_count(piece)) for j in range(1, len(piece) + 1)]
+            got = self.within[piece] = np.array(plain, np.int64)
+        return got
+
+    def every_prefix(self, text: str) -> np.ndarray:
+        """Count at each character of the text's pre-tokens, as if the text ended there."""
+        pieces = self.pieces(text)
+        if not pieces:
+            return np.zeros(0, np.int64)
+        ends = np.cumsum(self.counts(pieces))
+        return np.concatenate([before + self.inside(p) for before, p in zip([0, *ends[:-1].tolist()], pieces, strict=True)])
+
+    def cut_at(self, text: str, budget: int) -> tuple[int, int, int, int]:
+        """(tokens of the whole text, whole pre-tokens, characters of the next one, tokens) of the longest prefix within the budget."""
+        pieces = self.pieces(text)
+        ends = np.cumsum(self.counts(pieces)) if pieces else np.zeros(0, np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        whole = fits_budget(ends, budget)
+        before = int(ends[whole - 1]) if whole else 0
+        if whole == len(pieces) or pieces[whole] is None:
+            return total, whole, 0, before
+        own = self.inside(pieces[whole])
+        some = np.flatnonzero(before + own <= budget)
+        return total, whole, int(some[-1]) + 1 if len(some) else 0, before + int(own[some[-1]]) if len(some) else before
+
 
 #: A capital sigma at a word's end lowers to another letter in str.lower than letter by letter.
 _ODD = regex.compile("Σ")
@@ -224,36 +275,43 @@ def fits_budget(table: np.ndarray, budget: int) -> int:
 
 
 def prefix_tables(docs: DataFrame, path: str | None = None, text: str = "text") -> DataFrame:
-    """(doc_id, prefix_tokens): the running count after each pre-token of every text; an empty array for null or no token."""
+    """(doc_id, prefix_tokens, ends): the count at every character of every text's pre-tokens, and the place of each one's last character.
+
+    Arrays are empty for null and for a text without tokens. White space outside pre-tokens has no entry: it adds no token.
+    """
     where = path or tokenizer_path()
 
     def tabulate(batches):
         c = counter(where)
-        for b in blocks(batches, text):
+        for b in blocks(batches, text, 1 << 18):
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            ends = [np.cumsum([1 if p is None else len(p) for p in c.pieces(t)]).astype(np.int64) for t in texts]
             yield pa.RecordBatch.from_pydict(
-                {"doc_id": b.column(0), "prefix_tokens": pa.array([c.prefix_table(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int64()))}
+                {"doc_id": b.column(0), "prefix_tokens": pa.array([c.every_prefix(t) for t in texts], pa.list_(pa.int64())), "ends": pa.array(ends, pa.list_(pa.int64()))}
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(tabulate, "doc_id long, prefix_tokens array<bigint>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(tabulate, "doc_id long, prefix_tokens array<bigint>, ends array<bigint>")
 
 
 def truncate(docs: DataFrame, budget: int, path: str | None = None, text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_pieces_kept, n_tokens_kept) for the longest run of whole pre-tokens within the budget, from one table."""
-    t = F.col("prefix_tokens")
-    kept = F.size(F.filter(t, lambda x: x <= budget))
-    return prefix_tables(docs, path, text).select(
-        "doc_id",
-        F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(0)).alias("n_tokens"),
-        kept.alias("n_pieces_kept"),
-        F.coalesce(F.try_element_at(t, F.when(kept > 0, kept)), F.lit(0)).alias("n_tokens_kept"),
-    )
+    """(doc_id, n_tokens, n_pieces_kept, n_chars_more, n_tokens_kept) for the longest prefix within the budget: whole pre-tokens, and characters of the next."""
+    where = path or tokenizer_path()
+
+    def cut(batches):
+        c = counter(where)
+        for b in blocks(batches, text):
+            found = [c.cut_at(t or "", budget) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array([x[i] for x in found], pa.int64()) for i in range(4)]], ["doc_id", "n_tokens", "n_pieces_kept", "n_chars_more", "n_tokens_kept"])
+
+    kind = "doc_id long, n_tokens long, n_pieces_kept long, n_chars_more long, n_tokens_kept long"
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(cut, kind)
 
 
 def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit of every row, from the prefix tables, which stay inside the task.
 
     Null and empty texts have 0 bytes and tokens; repeated rows are counted each; other columns are ignored; an empty table
-    gives no rows. fits: the pre-tokens within the limit.
+    gives no rows. fits, fits_chars: whole pre-tokens within the limit, and characters of the next one that are, too.
     """
     where = path or tokenizer_path()
 
@@ -261,19 +319,20 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, t
         c = counter(where)
         for b in blocks(batches, text):
             texts = [t or "" for t in b.column(1).to_pylist()]
-            tables = [c.prefix_table(t) for t in texts]
-            n = np.array([t[-1] if len(t) else 0 for t in tables], np.int64)
+            cuts = np.array([c.cut_at(t, limit) for t in texts], np.int64).reshape(len(texts), 4)
+            n = cuts[:, 0]
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": b.column(0),
                     "n_bytes": pa.array([len(t.encode()) for t in texts], pa.int64()),
                     "n_tokens": pa.array(n),
                     "over_limit": pa.array(n > limit),
-                    "fits": pa.array([fits_budget(t, limit) for t in tables], pa.int64()),
+                    "fits": pa.array(cuts[:, 1]),
+                    "fits_chars": pa.array(cuts[:, 2]),
                 }
             )
 
-    kind = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits long"
+    kind = "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits long, fits_chars long"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias(text)).mapInArrow(count, kind)
 
 
