@@ -8,12 +8,14 @@ segments of many texts run side by side. Weights are trained here by backpropaga
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.samples import bounded
+from nearfield.llm.samples import hashed, share_of
 from nearfield.llm.text import blocks, offsets_of
 
 SEGMENT = 128
@@ -22,6 +24,8 @@ SAMPLE = 3000
 STEPS = 120
 BATCH = 256
 UND = "und"
+#: Labels that can be learned, at most.
+LANGUAGES = 1000
 
 
 class BiGru:
@@ -185,15 +189,22 @@ def _held_out() -> F.Column:
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS, hidden: int = HIDDEN) -> tuple[list[str], BiGru | None]:
-    """Languages and a trained network, from at most about ``sample`` labelled texts outside the held-out part.
+    """Languages and a trained network, from at most about ``sample`` labelled ids outside the held-out part.
 
-    Of each text a few segments, chosen by its id, are learned. Without any labelled text there is no network.
+    Every language gets an equal part of the sample, so that a rare one is learned too; an id that several rows have counts
+    once, with its least text. Of each text a few segments, chosen by its id, are learned, in one task. Without any labelled
+    text there is no network. More than LANGUAGES labels raise ValueError.
     """
-    train = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    known = sorted(r[0] for r in train.select("lang").distinct().collect())
+    train = docs.where(~_held_out() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", F.col("text"))
+    known = sorted(r[0] for r in train.select("lang").distinct().limit(LANGUAGES + 1).collect())
+    if len(known) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     if not known:
         return [], None
-    rows = bounded(train.select("doc_id", "lang", "text"), "doc_id", sample).where(F.col("text").rlike(r"\p{L}")).select(F.xxhash64("doc_id").alias("k"), "lang", "text")
+    each = max(1, sample // len(known))
+    counts = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}
+    bound = F.coalesce(*[F.when(F.col("lang") == v, share_of(each, counts[v])) for v in known])
+    rows = train.where(hashed("doc_id") < bound).where(F.col("text").rlike(r"\p{L}")).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select(F.xxhash64("doc_id").alias("k"), "lang", "text")
 
     def pick(batches):  # a bounded piece of each text leaves the executors: six segments from places that the id decides
         for b in blocks(batches, "text"):
@@ -207,15 +218,20 @@ def fit(docs: DataFrame, sample: int = SAMPLE, steps: int = STEPS, hidden: int =
                     out["seg"].append(raw[j * SEGMENT : (j + 1) * SEGMENT])
             yield pa.RecordBatch.from_pydict({"k": pa.array(out["k"], pa.int64()), "lang": pa.array(out["lang"], pa.string()), "seg": pa.array(out["seg"], pa.binary())})
 
-    got = rows.mapInArrow(pick, "k long, lang string, seg binary").toPandas().sort_values(["k", "lang", "seg"], kind="stable")
-    model = BiGru(len(known), hidden)
-    if len(got):
-        data = np.frombuffer(b"".join(got.seg), np.uint8)
-        off = np.concatenate([[0], np.cumsum(got.seg.map(len).to_numpy())])
-        x, n, per = segments(data, off)
-        y = np.repeat(got.lang.map({v: i for i, v in enumerate(known)}).to_numpy(), per)
-        model.train(x, y, (np.arange(SEGMENT)[:, None] < n[None, :]).astype(np.float32), steps)
-    return known, model
+    def learn(batches):
+        got = sorted(zip(*([x for b in batches for x in b.column(i).to_pylist()] for i in range(3)), strict=True)) if (batches := list(batches)) else []
+        model = BiGru(len(known), hidden)
+        if got:
+            data = np.frombuffer(b"".join(x[2] for x in got), np.uint8)
+            off = np.concatenate([[0], np.cumsum([len(x[2]) for x in got])])
+            x, n, per = segments(data, off)
+            number = {v: i for i, v in enumerate(known)}
+            y = np.repeat(np.array([number[x[1]] for x in got]), per)
+            model.train(x, y, (np.arange(SEGMENT)[:, None] < n[None, :]).astype(np.float32), steps)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    got = rows.mapInArrow(pick, "k long, lang string, seg binary").repartition(1).mapInArrow(learn, "model binary").first()
+    return known, pickle.loads(got[0]) if got else BiGru(len(known), hidden)
 
 
 def identify(docs: DataFrame, known: list[str], model: BiGru | None, text: str = "text") -> DataFrame:
