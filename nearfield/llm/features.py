@@ -6,6 +6,8 @@ evidence but not with length alone.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,8 +21,6 @@ START_BYTES = 5
 #: Steps of the share of words that are distinct.
 VARIETY = 16
 SIZE = WORDS + STARTS + (1 << TRIGRAM_BITS) + VARIETY
-#: Buckets that fewer sampled texts hold are not learned.
-MIN_TEXTS = 4
 
 
 class Features:
@@ -91,28 +91,30 @@ def _column(table: pa.Table, name: str, kind) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(flat), np.concatenate(size)
 
 
-def rows_of(df: DataFrame, label: str, text: str = "text"):
-    """Features of a bounded sample on the driver: (labels, ids, values, starts, sizes), in an order that doesn't depend on partitions."""
+def learned(df: DataFrame, label: str, make, text: str = "text"):
+    """make(labels, sparse rows) over a bounded sample (doc_id, label, text), in one task; what it returns comes to the driver.
+
+    Features are made where the texts are, and the rows are put in an order that doesn't depend on partitions.
+    """
 
-    def make(batches):
+    def features(batches):
         for b in blocks(batches, text, 1):
             ids, values = sparse(Features(b.column(2)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([ids.tobytes()], pa.binary()), pa.array([values.astype(np.float16).tobytes()], pa.binary())], ["key", "label", "ids", "vals"])
 
+    def run(batches):
+        got = pa.Table.from_batches(list(batches), schema=pa.schema({"key": pa.int64(), "label": pa.int32(), "ids": pa.binary(), "vals": pa.binary()}))
+        keys, labels = got.column("key").to_numpy(), got.column("label").to_numpy()
+        ids, size = _column(got, "ids", np.int32)
+        vals, _ = _column(got, "vals", np.float16)
+        start = np.cumsum(size) - size
+        order = np.lexsort((size, labels, keys))
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(make(labels[order], (ids, vals, start[order], size[order])))], pa.binary())})
+
     key = F.xxhash64(F.col("doc_id"), F.col(text)).alias("key")
-    got = df.select(key, F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(make, "key long, label int, ids binary, vals binary").toArrow()
-    keys, labels = got.column("key").to_numpy(), got.column("label").to_numpy()
-    ids, size = _column(got, "ids", np.int32)
-    vals, _ = _column(got, "vals", np.float16)
-    del got
-    pa.default_memory_pool().release_unused()
-    if len(labels) > 10 * MIN_TEXTS:
-        often = (np.bincount(ids, minlength=SIZE) >= MIN_TEXTS)[ids]
-        size = per_text(often.astype(np.int8), size)
-        ids, vals = ids[often], vals[often]
-    start = np.cumsum(size) - size
-    order = np.lexsort((size, labels, keys))
-    return labels[order], ids, vals, start[order], size[order]
+    rows = df.select(key, F.col(label).cast("int").alias("label"), F.coalesce(F.col(text), F.lit("")).alias(text)).mapInArrow(features, "key long, label int, ids binary, vals binary")
+    model = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(model[0]) if model else pickle.loads(next(run([])).column(0)[0].as_py())  # a plan known to be empty runs no task
 
 
 class Batch:

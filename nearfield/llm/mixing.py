@@ -11,14 +11,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.features import SIZE, Batch, Features, rows_of
-from nearfield.llm.samples import bounded
+from nearfield.llm.bpe import token_counts
+from nearfield.llm.features import SIZE, Batch, Features, learned
+from nearfield.llm.samples import bounded, texts_of
 from nearfield.llm.text import blocks
 from nearfield.storage import materialise
 
@@ -106,16 +108,23 @@ def fit_classifier(docs: DataFrame, labelled: DataFrame, k: int = len(DOMAINS),
     if not total or not k:
         return None
     sample = reduce(DataFrame.union, [bounded(labelled.where(F.col("domain") == d), "doc_id", per_domain) for d in range(k)])
-    y, *rows = rows_of(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "domain", "text"), "domain")
-    if not len(y):
-        return None
-    model = Softmax(k)
-    model.fit(y, rows, np.array([counts.get(d, 0) / total for d in range(k)]))
-    return model
+    share = np.array([counts.get(d, 0) / total for d in range(k)])
+
+    def make(y, rows):
+        if not len(y):
+            return None
+        model = Softmax(k)
+        model.fit(y, rows, share)
+        return model
+
+    return learned(texts_of(docs, sample.select("doc_id", "domain")), "domain", make)
+
 
+def with_posteriors(docs: DataFrame, model: Softmax | None, keep: list[str], text: str = "text", k: int = len(DOMAINS), ranks: str | None = None) -> DataFrame:
+    """The columns ``keep`` (by position, as c0, c1, ...), n_tokens, and p0, p1, ...; all the first domain without a model.
 
-def with_posteriors(docs: DataFrame, model: Softmax | None, keep: list[str], text: str = "text", k: int = len(DOMAINS)) -> DataFrame:
-    """The columns ``keep`` (by position, as c0, c1, ...), words as n_tokens, and p0, p1, ...; all the first domain without a model."""
+    ranks: a vocabulary file, by which tokens are counted; without it they are words.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     fields = [docs.schema[c] for c in keep]
 
@@ -124,45 +133,65 @@ def with_posteriors(docs: DataFrame, model: Softmax | None, keep: list[str], tex
         for b in blocks(batches, "text_"):
             f = Features(b.column(b.num_columns - 1))
             p = np.eye(1, k).repeat(b.num_rows, axis=0) if m is None else m.posteriors(f)
-            cols = [b.column(i) for i in range(len(fields))] + [pa.array(f.n_words.astype(np.int64))] + [pa.array(np.ascontiguousarray(p[:, j])) for j in range(k)]
+            cols = [b.column(i) for i in range(len(fields))] + [pa.array(f.n_words.astype(np.int64) if ranks is None else token_counts(b.column(b.num_columns - 1).to_pylist(), ranks))] + [pa.array(np.ascontiguousarray(p[:, j])) for j in range(k)]
             yield pa.RecordBatch.from_arrays(cols, [f"c{i}" for i in range(len(fields))] + ["n_tokens"] + [f"p{j}" for j in range(k)])
 
     inner = ", ".join([*(f"c{i} {f.dataType.simpleString()}" for i, f in enumerate(fields)), "n_tokens long", *(f"p{j} double" for j in range(k))])
     return docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text).alias("text_")).mapInArrow(run, inner)
 
 
-def _rate(steps: list[np.ndarray]) -> F.Column:
-    """The rate after the steps, from p0, p1, ...: each moves against the gradient and is projected onto r >= 0."""
+def _along(v: np.ndarray) -> F.Column:
+    """How far a step takes a rate down."""
+    return reduce(lambda a, b: a + b, [F.col(f"p{j}") * float(x) for j, x in enumerate(v)])
+
+
+def _rate(steps: list[np.ndarray], least: float = 0.0) -> F.Column:
+    """The rate after the steps, from p0, p1, ...: each moves against the gradient and is projected onto r >= least."""
     r = F.lit(1.0)
     for v in steps:
-        r = F.greatest(F.lit(0.0), r - reduce(lambda a, b: a + b, [F.col(f"p{j}") * float(x) for j, x in enumerate(v)]))
+        r = F.greatest(F.lit(least), r - _along(v))
     return r
 
 
-def fit_rates(table: DataFrame, target: Target, k: int, passes: int = PASSES, close: float = CLOSE) -> tuple[list[np.ndarray], list[float]]:
-    """Steps whose replay gives the rates, and the remaining gap, as a share of the tokens, after each pass.
+class Fit(NamedTuple):
+    """steps: what ``_rate`` replays; gaps: what is left to the targets after each pass, as a share of the tokens; wanted and
+    reached: expected tokens of each domain."""
+
+    steps: list[np.ndarray]
+    gaps: list[float]
+    wanted: list[float]
+    reached: list[float]
+
+
+def fit_rates(table: DataFrame, target: Target, k: int, passes: int = PASSES, close: float = CLOSE, least: float = 0.0) -> Fit:
+    """Rates of at least ``least`` that bring the domains' expected tokens to their targets.
 
     table: n_tokens and p0, p1, ...; target: from the expected tokens of each domain, those to reach. No tokens: no steps. A
-    domain of which no document has any posterior can't be met; the rest is fitted as well as least squares allow.
+    domain of which no document has any posterior can't be met; the rest is fitted as well as least squares allow, and the last
+    gap says how well that is.
     """
     t, p = F.col("n_tokens").cast("double"), [F.col(f"p{j}") for j in range(k)]
     steps: list[np.ndarray] = []
     gaps: list[float] = []
+    reached: list[list[float]] = []
     n, goal = 0.0, np.zeros(k)
     while True:
-        r = _rate(steps)
-        moving = F.when(r > 0, t).otherwise(0.0)  # a rate at its bound doesn't answer to a small step
+        r = _rate(steps, least)
+        # a rate at its bound doesn't answer to a step, unless the last one went away from the bound
+        moving = F.when((r > least) | (_along(steps[-1]) < 0), t).otherwise(0.0) if steps else t
         sums = [F.sum(t).alias("n"), *[F.sum(t * r * a).alias(f"s{j}") for j, a in enumerate(p)]]
         row = table.agg(*sums, *[F.sum(moving * p[i] * p[j]).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]).collect()[0]
         if not row["n"]:
-            return [], []
+            return Fit([], [], [0.0] * k, [0.0] * k)
         s = np.array([row[f"s{j}"] for j in range(k)])
         if not steps:
             n, goal = row["n"], target(s)
         gaps.append(float(np.abs(s - goal).sum() / n))
+        reached.append(s.tolist())
         stuck = len(gaps) > 6 and gaps[-1] > 0.999 * gaps[-4]
         if gaps[-1] <= close or len(steps) >= passes or stuck:
-            return steps, gaps
+            best = int(np.argmin(gaps))
+            return Fit(steps[:best], gaps[: best + 1], goal.tolist(), reached[best])
         h = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / n
         damp = RIDGE * max(np.trace(h) / k, 1e-12) * np.eye(k)  # domains that hardly move get small steps
         steps.append(np.linalg.solve(h + damp, (s - goal) / n))
@@ -174,26 +203,36 @@ def _copies(rate: F.Column, key: F.Column) -> F.Column:
     return F.floor(rate + u).cast("int")
 
 
-def rates(docs: DataFrame, labelled: DataFrame, target: Target, names: tuple[str, ...] = DOMAINS, model: Softmax | None = None) -> DataFrame:
-    """doc_id, n_tokens, p_<domain>, rate and copies of every row.
+def rates(docs: DataFrame, labelled: DataFrame, target: Target, names: tuple[str, ...] = DOMAINS, model: Softmax | None = None, ranks: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, p_<domain>, rate, copies and gap of every row; gap: what is left to all targets, as a share of the tokens.
 
-    n_tokens counts words (0 for a null text, whose rate still follows from its posterior). Repeated rows get equal rates.
-    Without a labelled document every posterior is that of the first domain. Other columns are ignored; an empty table gives
-    no rows.
+    n_tokens is 0 for a null text, whose rate still follows from its posterior. Repeated rows get equal rates. Without a
+    labelled document every posterior is that of the first domain. Other columns are ignored; an empty table gives no rows.
     """
     k = len(names)
     model = model or fit_classifier(docs, labelled, k)
-    table = materialise(with_posteriors(docs, model, ["doc_id"], k=k), "mixing-posteriors")
-    steps, _ = fit_rates(table, target, k)
-    return table.select(F.col("c0").cast("long").alias("doc_id"), "n_tokens", *[F.col(f"p{j}").alias(f"p_{d}") for j, d in enumerate(names)], _rate(steps).alias("rate"), _copies(_rate(steps), F.col("c0")).alias("copies"))
+    table = materialise(with_posteriors(docs, model, ["doc_id"], k=k, ranks=ranks), "mixing-posteriors")
+    fit = fit_rates(table, target, k)
+    gap = F.lit(fit.gaps[-1] if fit.gaps else 0.0)
+    return table.select(F.col("c0").cast("long").alias("doc_id"), "n_tokens", *[F.col(f"p{j}").alias(f"p_{d}") for j, d in enumerate(names)], _rate(fit.steps).alias("rate"), _copies(_rate(fit.steps), F.col("c0")).alias("copies"), gap.alias("gap"))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, target: Target, names: tuple[str, ...] = DOMAINS) -> DataFrame:
-    """The rows of docs, each as many times as its rate says (0, 1 or more), with the columns of docs. Nothing is shuffled."""
+def totals(docs: DataFrame, labelled: DataFrame, target: Target, names: tuple[str, ...] = DOMAINS) -> DataFrame:
+    """domain, wanted_tokens and reached_tokens: the targets and what the fitted rates are expected to give."""
+    k = len(names)
+    fit = fit_rates(materialise(with_posteriors(docs, fit_classifier(docs, labelled, k), ["doc_id"], k=k), "mixing-posteriors"), target, k)
+    return docs.sparkSession.createDataFrame(list(zip(names, fit.wanted, fit.reached, strict=True)), "domain string, wanted_tokens double, reached_tokens double")
+
+
+def mix(docs: DataFrame, labelled: DataFrame, target: Target, names: tuple[str, ...] = DOMAINS, least: float = 0.0, ranks: str | None = None) -> DataFrame:
+    """The rows of docs, each as many times as its rate says, with the columns of docs. Nothing is shuffled.
+
+    Rates are at least ``least``: with 1, no row is lost, and a domain with more tokens than its share is met by repeating the others.
+    """
     k, n = max(1, len(names)), len(docs.columns)
-    table = materialise(with_posteriors(docs, fit_classifier(docs, labelled, len(names)), docs.columns, k=k), "mixing-documents")
-    steps, _ = fit_rates(table, target, k)
-    times = _copies(_rate(steps), F.col(f"c{docs.columns.index('doc_id')}"))
+    table = materialise(with_posteriors(docs, fit_classifier(docs, labelled, len(names)), docs.columns, k=k, ranks=ranks), "mixing-documents")
+    fit = fit_rates(table, target, k, least=least)
+    times = _copies(_rate(fit.steps, least), F.col(f"c{docs.columns.index('doc_id')}"))
     once = table.select(*[f"c{i}" for i in range(n)], times.alias("times")).where("times > 0")
     return once.withColumn("copy", F.explode(F.sequence(F.lit(1), "times"))).select(*[f"c{i}" for i in range(n)]).toDF(*docs.columns)
 

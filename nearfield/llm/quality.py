@@ -6,13 +6,15 @@ It gives each document an expected grade and, for selection, the probability of
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfield.llm.features import SIZE, Batch, Features, rows_of
-from nearfield.llm.samples import bounded
+from nearfield.llm.features import SIZE, Batch, Features, learned
+from nearfield.llm.samples import bounded, texts_of
 from nearfield.llm.text import blocks
 
 #: Rows of each grade that are learned, at most about.
@@ -85,17 +87,17 @@ class Ordinal:
 
 
 def fit(docs: DataFrame, rated: DataFrame, n_grades: int = 3, per_grade: int = PER_GRADE) -> Ordinal | None:
-    """From documents and (doc_id, grade); None without a rated document. The sample's ids are few enough to send to every task."""
-    parts = [bounded(rated.where(F.col("grade") == g), "doc_id", per_grade) for g in range(n_grades)]
-    sample = parts[0]
-    for p in parts[1:]:
-        sample = sample.union(p)
-    y, *rows = rows_of(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "grade", "text"), "grade")
-    if not len(y):
-        return None
-    model = Ordinal(n_grades)
-    model.fit(y, rows)
-    return model
+    """From documents and (doc_id, grade); None without a rated document. A rated id counts once, with its least text."""
+    sample = reduce(DataFrame.union, [bounded(rated.where(F.col("grade") == g), "doc_id", per_grade) for g in range(n_grades)])
+
+    def make(y, rows):
+        if not len(y):
+            return None
+        model = Ordinal(n_grades)
+        model.fit(y, rows)
+        return model
+
+    return learned(texts_of(docs, sample.select("doc_id", "grade")), "grade", make)
 
 
 def _grade_batches(shared, text: str, carry: int):

@@ -140,13 +140,44 @@ def test_every_prefix_of_a_word():
         assert c.word_prefixes(word) == [len(tk.encode(word[: i + 1], add_special_tokens=False).ids) for i in range(len(word))]
 
 
+def test_every_prefix_of_a_text(spark):
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(pt.path("word_bpe_49k.json"))
+    texts = ["they're überraschung's 12'll x", "a<|endoftext|>b c", None, "", "日本語 don't"]
+    got = {r.doc_id: r for r in prefix_tokens.prefix_tables(docs_of(spark, texts, prefix_tokens="clash")).collect()}
+    for d, t in enumerate(texts):
+        if d == 1:
+            continue  # a part of a special string is no prefix of it
+        shown = [i for i, c in enumerate(t or "") if not c.isspace()]
+        assert got[d].prefix_tokens == [len(tk.encode(t[: i + 1], add_special_tokens=False).ids) for i in shown]
+        assert not got[d].ends or got[d].ends[-1] == len(shown)
+    assert got[1].prefix_tokens == [1, 2, 3, 4] and got[1].ends == [1, 2, 3, 4]
+    assert prefix_tokens.prefix_tables(docs_of(spark, texts).limit(0)).count() == 0 and prefix_tokens.token_counts(docs_of(spark, texts).limit(0)).count() == 0
+
+
 def test_truncation_from_the_table(spark):
     text = "the quick brown fox jumps over the lazy dog and thhahaerti"
-    docs = docs_of(spark, [text, None, ""])
+    docs = docs_of(spark, [text, None, ""], n_tokens="clash")
     table = prefix_tokens.prefix_tables(docs).orderBy("doc_id").first().prefix_tokens
-    rows = prefix_tokens.truncate(docs, 7).orderBy("doc_id").collect()
-    assert rows[0].n_tokens == table[-1] and rows[0].n_tokens_kept == max(x for x in table if x <= 7) and rows[0].n_pieces_kept == sum(x <= 7 for x in table)
-    assert [r.n_tokens for r in rows[1:]] == [0, 0] and prefix_tokens.fits_budget(np.array(table), 0) == 0
+    for budget in range(len(table) + 2):
+        rows = prefix_tokens.truncate(docs, budget).orderBy("doc_id").collect() if budget in (0, 7, 12) else None
+        total, whole, more, kept = prefix_tokens.counter(pt.path("word_bpe_49k.json")).cut_at(text, budget)
+        words = text.split(" ")
+        last = max((i for i, x in enumerate(table) if x <= budget), default=-1)
+        assert total == table[-1] and sum(map(len, words[:whole])) + more == last + 1 and kept == (table[last] if last >= 0 else 0)
+        if rows:
+            assert tuple(rows[0]) == (0, total, whole, more, kept) and [r.n_tokens for r in rows[1:]] == [0, 0]
+
+
+def test_new_code_points_count_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    tk = Tokenizer.from_file(pt.path("word_bpe_49k.json"))
+    c = prefix_tokens.counter(pt.path("word_bpe_49k.json"))
+    for p in [0x558, 0xA7CB, 0xA7DC, 0x1C89, 0x10D50, 0x16EA0, 0x18D0C, 0x18D92, 0x32808, 0x3D808, 0x3285C, 0xE000, 0xAD, 0x200B, 0x378, 0x10FFFF]:
+        for text in (f"a{chr(p)}b", f"x {chr(p)}{chr(p)} A1{chr(p)}", chr(p)):
+            assert int(c.cut_at(text, 0)[0]) == len(tk.encode(text, add_special_tokens=False).ids), hex(p)
 
 
 # --- byte-level BPE ------------------------------------------------------------------------------------------------
@@ -201,6 +232,9 @@ def test_warc_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(p, f"http://h/{i}\nX: y", h, "extra") for i, (p, h) in enumerate(html)], "page_id long, url string, html string, payload string")
     out = warc.round_trip(df.repartition(3), f"file://{tmp_path}/w").collect()
     assert sorted([(r.page_id, r.payload_bytes, r.refers_to) for r in out], key=str) == brute_warc(html)
+    names = re.findall(rb"WARC-Record-ID: (\S+)", b"".join(gzip.open(tmp_path / "w" / f).read() for f in os.listdir(tmp_path / "w") if f.endswith(".warc.gz")))
+    refers = re.findall(rb"WARC-Refers-To: (\S+)", b"".join(gzip.open(tmp_path / "w" / f).read() for f in os.listdir(tmp_path / "w") if f.endswith(".warc.gz")))
+    assert len(set(names)) == len(html) and refers and set(refers) <= set(names)
     for r in out:
         assert r.digest_ok and (r.record_type == "revisit") == (r.refers_to is not None)
     by = {r.page_id: r for r in out}
@@ -217,6 +251,13 @@ def test_warc_below_the_least_size(spark):
     assert {r.record_type for r in warc.round_trip(df, least=3).collect()} == {"response"}
 
 
+def test_revisits_without_their_response(spark):
+    kind = "page_id long, record_type string, refers_to long, payload_bytes long, payload_digest string, digest_ok boolean"
+    rows = [(5, "response", None, 3, "A", True), (1, "revisit", 5, 3, "A", None), (2, "revisit", 5, 3, "B", None), (3, "revisit", 9, 3, "A", None), (4, "revisit", 5, 4, "A", None), (6, "response", None, 3, "C", False), (7, "revisit", 6, 3, "C", None)]
+    got = {r.page_id: r.digest_ok for r in warc.verified(spark.createDataFrame(rows, kind)).collect()}
+    assert got == {5: True, 1: True, 2: False, 3: False, 4: False, 6: False, 7: False}
+
+
 def test_damaged_archives_are_refused():
     rec = warc.gzip_member(warc.record(1, None, b"abc", warc.sha1_base32(b"abc"), None, 3))
     two = [warc.read_record(p) for p in warc.members(io.BytesIO(rec + rec))]
@@ -250,6 +291,41 @@ def test_backpropagation_matches_differences():
         assert g[name].reshape(-1)[at] == pytest.approx((up - down) / (2 * step), rel=0.05, abs=1e-4)
 
 
+def test_probabilities_equal_a_plain_network():
+    """Byte by byte in both directions, gates written out, pooled over the text."""
+    net = langid.BiGru(3, 5)
+    text = np.frombuffer("Zwölf Boxkämpfer, jagt!".encode(), np.uint8)
+    data = np.r_[text, np.zeros(langid.SEGMENT - len(text), np.uint8)]  # short segments are filled up, and the filling is not pooled
+    sig = lambda v: 1 / (1 + np.exp(-v))
+
+    def states(order, d):
+        w, u, h = net.p[f"w{d}"].astype(float), net.p[f"u{d}"].astype(float), np.zeros(5)
+        out = {}
+        for t in order:
+            x, a = w[data[t]], h @ u
+            z, r = sig(2 * (x + a)[:5]), sig(2 * (x + a)[5:10])
+            new = np.tanh(x[10:] + 2 * r * a[10:])
+            h = z * h + (1 - z) * new
+            out[t] = h
+        return out
+
+    fore, back = states(range(len(data)), "f"), states(range(len(data) - 1, -1, -1), "b")
+    score = np.array([fore[t] @ net.p["cf"] + back[t] @ net.p["cb"] + net.p["bias"] for t in range(len(data))])
+    soft = np.exp(score) / np.exp(score).sum(axis=1, keepdims=True)
+    got = langid.pooled(net, text, np.array([0, len(text), len(text)]))
+    assert np.allclose(got[0], soft[: len(text)].mean(axis=0), atol=1e-5) and not got[1].any()
+
+
+def test_rare_languages_are_learned(spark):
+    rows = [(i, f"{'ab' if i % 50 else 'xyzzy'} " * 40, "aa" if i % 50 else "zz", "clash") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    known, net = langid.fit(docs, sample=40, steps=60)
+    assert known == ["aa", "zz"]
+    new = spark.createDataFrame([(1, "xyzzy xyzzy xyzzy"), (2, "ab ab ab ab ab")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(new, known, net).orderBy("doc_id").collect()] == ["zz", "aa"]
+    assert langid.fit(docs.limit(0)) == ([], None) and langid.identify(docs.limit(0), [], None).count() == 0
+
+
 def test_language_of_held_out_texts(spark):
     rng = random.Random(1)
     make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 7))) for _ in range(30))
@@ -307,6 +383,42 @@ def test_ordinal_grades(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.kept}
 
 
+def test_ordinal_gradient_matches_likelihood():
+    """One step on one batch goes along the differences of the weighted log-likelihood, by brute force."""
+    from nearfield.llm.features import SIZE
+
+    rng = np.random.default_rng(4)
+    n, width = 12, 6
+    y, x = np.arange(n) % 3, rng.standard_normal((n, width)).astype(np.float32)
+    rows = (np.tile(np.arange(width, dtype=np.int32), n), x.ravel(), np.arange(n) * width, np.full(n, width))
+
+    def loss(w, first, gap):
+        t = first + np.array([0.0, np.exp(gap)])
+        up = np.c_[np.ones(n), 1 / (1 + np.exp(-((x @ w)[:, None] - t))), np.zeros(n)]
+        return -np.log(up[np.arange(n), y] - up[np.arange(n), y + 1]).mean()
+
+    model = quality.Ordinal(3)
+    model.fit(y, rows, epochs=1, batch=n, rate=1e-3, decay=0.0)
+    moved = np.r_[model.w[:width], model.first, model.gaps]
+    at, e = np.zeros(width + 2), 1e-5
+    slope = np.array([(loss(*_split(at + e * d)) - loss(*_split(at - e * d))) / (2 * e) for d in np.eye(width + 2)])
+    expected = -1e-3 * slope / np.sqrt(1e-3 + slope**2)
+    assert np.allclose(moved, expected, atol=2e-6) and not model.w[width:SIZE].any()
+
+
+def _split(v):
+    return v[:-2], v[-2], v[-1]
+
+
+def test_rated_ids_count_once(spark):
+    docs, labels = rated(spark)
+    known = quality.grades(labels)
+    twice = docs.union(docs).union(docs.withColumn("text", F.lit("zzz zzz zzz")).where("doc_id < 3"))
+    rows = quality.texts_of(twice, known.select("doc_id", "grade"))
+    assert rows.count() == known.count() and rows.columns == ["doc_id", "grade", "text"]
+    assert rows.where("doc_id = 1").first().text == min("zzz zzz zzz", docs.where("doc_id = 1").first().text)
+
+
 def test_quality_of_odd_rows(spark):
     docs = docs_of(spark, ODD, kept="clash").withColumn("tail", F.lit(1))
     for model in (None, quality.Ordinal(3)):
@@ -349,11 +461,31 @@ def test_rates_meet_targets(spark):
     p = rng.dirichlet([0.3, 0.3, 0.3], 200)
     rows = [(int(n), *map(float, x)) for n, x in zip(rng.integers(10, 900, 200), p, strict=True)]
     t = table(spark, rows)
-    steps, gaps = mixing.fit_rates(t, mixing.shares({"a": 0.6, "b": 0.3, "c": 0.1}, ("a", "b", "c")), 3)
+    steps, gaps, wanted, reached = mixing.fit_rates(t, mixing.shares({"a": 0.6, "b": 0.3, "c": 0.1}, ("a", "b", "c")), 3)
     r = replay(rows, steps)
     n = np.array([x[0] for x in rows])
     s = (r * n) @ np.array([x[1:] for x in rows])
     assert (r >= 0).all() and gaps[-1] <= 1e-4 and np.abs(s / n.sum() - [0.6, 0.3, 0.1]).sum() < 2e-4
+    assert np.allclose(wanted, n.sum() * np.array([0.6, 0.3, 0.1])) and np.allclose(reached, s)
+
+
+def test_rates_are_least_squares(spark):
+    """Rates of one at least come as near to targets as coordinate descent over all such rates does."""
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.5, 0.5, 0.5], 40)
+    rows = [(int(n), *map(float, x)) for n, x in zip(rng.integers(10, 900, 40), p, strict=True)]
+    n, p = np.array([float(x[0]) for x in rows]), np.array([x[1:] for x in rows])
+    a = n[:, None] * p
+    goal = (1 + p @ [0.1, 0.6, 1.2] * rng.random(40)) @ a  # within reach
+    fit = mixing.fit_rates(table(spark, rows), lambda s: goal, 3, passes=60, least=1.0)
+    r, best = np.ones(40), np.ones(40)
+    for v in fit.steps:
+        r = np.maximum(1.0, r - p @ v)
+    for _ in range(3000):
+        for k in range(40):
+            best[k] = max(1.0, best[k] - ((best @ a - goal) @ a[k]) / (a[k] @ a[k]))
+    assert (r >= 1).all() and np.abs(r @ a - fit.reached).max() < 1e-6 * n.sum()
+    assert np.abs(r @ a - goal).sum() <= np.abs(best @ a - goal).sum() + 2e-3 * n.sum()
 
 
 def test_tempered_targets_thin_nothing():
@@ -372,7 +504,9 @@ def test_mixing_rows(spark):
     assert tokens["clean"] / total == pytest.approx(0.95, abs=0.02)
     langs = docs.withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "u").otherwise("v")).withColumn("c0", F.lit("clash"))
     names, known = mixing.languages_of(langs)
-    out = mixing.mix(langs, known, mixing.tempered(0.5), names)
+    assert set(mixing.rates(docs, mixing.domains_of(labels), mixing.shares(mixing.TARGETS)).select("gap").distinct().toPandas().gap) == {rows[0].gap}
+    assert [r.n_tokens for r in mixing.rates(docs, mixing.domains_of(labels), mixing.shares(mixing.TARGETS), ranks=bpe.tokenizer_path()).where("doc_id = 3").collect()] == [bpe.token_counts([docs.where("doc_id = 3").first().text], bpe.tokenizer_path())[0]]
+    out = mixing.mix(langs, known, mixing.tempered(0.5), names, least=1.0)
     assert out.columns == langs.columns and {r.doc_id for r in out.collect()} == set(range(240)) and out.count() > 240
 
 
@@ -381,4 +515,5 @@ def test_mixing_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, domain int")
     assert mixing.rates(docs, none, mixing.shares(mixing.TARGETS)).count() == len(ODD)
     assert mixing.mix(docs.limit(0), none, mixing.tempered(0.7), ()).count() == 0
-    assert mixing.fit_rates(table(spark, [(0, 1.0, 0.0)]), mixing.tempered(0.7), 2) == ([], [])
+    assert mixing.fit_rates(table(spark, [(0, 1.0, 0.0)]), mixing.tempered(0.7), 2) == ([], [], [0.0, 0.0], [0.0, 0.0])
+    assert mixing.totals(docs, none, mixing.shares(mixing.TARGETS)).count() == 3
