@@ -2,11 +2,11 @@
 
 1. Every text is split into pre-tokens. Texts are taken in blocks of bounded size; a block keeps, for each text, the positions
    of its pre-tokens as codes into the block's own list of distinct pre-tokens, so a word as frequent as "the" is sent once a
-   block and not once a position. Codes and lists go to a table in the shared folder, so that a repeated task can't number
-   them anew.
+   block and not once a position. Codes and lists go to a table in the shared folder, bucketed by block, so that a repeated
+   task can't number them anew, and texts are never shuffled.
 2. The lists are dealt out by a hash of the pre-token, packed as columns, so that all occurrences of one meet in one group of
    bounded size; there each distinct one is encoded once, and its ids are joined to every block that asked for it.
-3. Ids return to their blocks, and each text is put together by position.
+3. Ids return to their blocks, in the buckets of the table, and each text is put together by position.
 4. Decoding joins every id to the token-byte table, a table as large as the vocabulary whatever the corpus.
 """
 
@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfield.llm.text import blocks
-from nearfield.storage import materialise
+from nearfield.storage import bucketed
 
 BLOCK_BYTES = 64 << 20
 #: Input bytes for each group of the word shuffle, and least number of groups.
 GROUP_BYTES = 64 << 20
+#: Buckets of the table of blocks, at most (Spark's own bound).
+MOST_BUCKETS = 100_000
 _ROWS = "block long, bucket int, payload binary"
 #: The bucket of rows that hold texts.
 TEXTS = -1
@@ -62,6 +64,12 @@ def _ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def token_counts(texts: list[str | None], path: str) -> np.ndarray:
+    """Tokens of each text; null has none."""
+    one = _encoding(path, pattern())
+    return np.array([len(one.encode_ordinary(t)) if t else 0 for t in texts], np.int64)
+
+
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> pa.Array:
     """The token-byte table, dense in the id; null for an unused id."""
@@ -198,18 +206,17 @@ def _ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return values[at]
 
 
-def _assembled(table: pa.Table):
+def _assembled(texts: pa.Table, listed: pa.Table):
     """For a block: each of its texts, as doc_id and ids."""
-    rows = list(zip(table.column("bucket").to_pylist(), table.column("payload").to_pylist(), strict=True))
-    parts = [unpack(p) for k, p in rows if k != TEXTS]
+    parts = [unpack(p) for p in listed.column("payload").to_pylist()]
     codes = np.concatenate([c for c, _, _ in parts]).astype(np.int64) if parts else np.zeros(0, np.int64)
     sizes = np.concatenate([n for _, n, _ in parts]).astype(np.int64) if parts else codes
     flat = np.concatenate([i for _, _, i in parts]) if parts else np.zeros(0, np.uint32)
     size, start = np.zeros(len(codes), np.int64), np.zeros(len(codes), np.int64)
     size[codes], start[codes] = sizes, np.cumsum(sizes) - sizes
     del parts
-    for payload in (p for k, p in rows if k == TEXTS):
-        known, low, high, per, text_codes = unpack(payload)
+    for payload in texts.column("payload"):
+        known, low, high, per, text_codes = unpack(payload.as_py())
         ids = (low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32)).view(np.int64)
         ends = np.cumsum(per.astype(np.int64))
         n = size[text_codes]
@@ -231,14 +238,14 @@ def encode(docs: DataFrame, finish, schema: str, path: str | None = None, text:
 
     Null and empty texts have no ids. Repeated rows come out each. Other columns are ignored. No rows for an empty table.
     """
-    where, pat = path or tokenizer_path(), pattern()
-    split = materialise(pretokens(docs, pat, _groups(docs), text, block_bytes), "bpe-pretokens")
+    where, pat, groups = path or tokenizer_path(), pattern(), _groups(docs)
+    split = bucketed(pretokens(docs, pat, groups, text, block_bytes), "block", min(groups, MOST_BUCKETS), "bpe_pretokens")
     back = encode_words(split.where(F.col("bucket") != TEXTS), where, pat)
 
-    def assemble(table: pa.Table) -> pa.Table:
-        return finish(_assembled(table), where)
+    def assemble(texts: pa.Table, listed: pa.Table) -> pa.Table:
+        return finish(_assembled(texts, listed), where)
 
-    return split.where(F.col("bucket") == TEXTS).union(back).groupBy("block").applyInArrow(assemble, schema)
+    return split.where(F.col("bucket") == TEXTS).groupBy("block").cogroup(back.groupBy("block")).applyInArrow(assemble, schema)
 
 
 def decode(ids: np.ndarray, path: str) -> bytes:
