@@ -31,9 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that expected tokens of the languages meet tempered shares; none is thinned out."""
+    """Documents repeated so that expected tokens of the languages meet tempered shares; every one comes once at least."""
     names, labelled = mixing.languages_of(docs)
-    return mixing.mix(docs, labelled, mixing.tempered(MIXING_POWER), names)
+    return mixing.mix(docs, labelled, mixing.tempered(MIXING_POWER), names, least=1.0, ranks=bpe.tokenizer_path())
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
