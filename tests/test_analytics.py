@@ -1,6 +1,9 @@
 import gzip
 import struct
+import tarfile
+import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -85,6 +88,19 @@ def test_files(spark, tmp_path):
     (tmp_path / "a.fvecs").write_bytes(b"".join(struct.pack("<i2f", 2, x, x + 1) for x in (1.0, 3.0)))
     assert [r.embedding for r in files.fvecs(spark, str(tmp_path / "a.fvecs")).orderBy("i").collect()] == [[1.0, 2.0], [3.0, 4.0]]
     (tmp_path / "b.idx.gz").write_bytes(gzip.compress(bytes([0, 0, 8, 3]) + struct.pack(">iii", 2, 1, 2) + bytes([1, 2, 3, 4])))
+    many = np.concatenate([np.full((50, 1), 3, "<i4").view("<f4"), np.arange(150, dtype="<f4").reshape(50, 3)], axis=1)
+    many.tofile(str(tmp_path / "many.fvecs"))
+    got = files.fvecs(spark, str(tmp_path / "many.fvecs"), range_bytes=100).orderBy("i").collect()
+    assert [r.i for r in got] == list(range(50)) and got[49].embedding == [147.0, 148.0, 149.0]
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("in/a.txt", "one\ntwo\r\n")
+        z.writestr("b.bin", "x")
+    with tarfile.open(tmp_path / "t.tar.gz", "w:gz") as t:
+        t.add(tmp_path / "z.zip", "skip.zip")
+        (tmp_path / "c.txt").write_text("three")
+        t.add(tmp_path / "c.txt", "c.txt")
+    assert [(r.member, r.line, r.value) for r in files.archived_lines(spark, str(tmp_path / "z.zip"), ".txt").orderBy("line").collect()] == [("in/a.txt", 0, "one"), ("in/a.txt", 1, "two")]
+    assert [r.value for r in files.archived_lines(spark, str(tmp_path / "t.tar.gz"), ".txt").collect()] == ["three"]
     assert [r.embedding for r in files.idx(spark, str(tmp_path / "b.idx.gz")).orderBy("i").collect()] == [[1.0, 2.0], [3.0, 4.0]]
     (tmp_path / "w.txt").write_text("cat 1 2.5\ndog 3 4\n")
     assert files.word_vectors(spark, str(tmp_path / "w.txt")).where("word = 'cat'").first().embedding == [1.0, 2.5]
