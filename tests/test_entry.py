@@ -21,7 +21,7 @@ def test_entry_without_the_subpackage(monkeypatch):
     class Gone:
         def find_spec(self, name, path=None, target=None):
             if name.startswith("nearfield.llm") or name == "corpus_pipeline":
-                raise ImportError(name)
+                raise ModuleNotFoundError(name, name=name)
 
     monkeypatch.setattr(sys, "meta_path", [Gone(), *sys.meta_path])
     monkeypatch.delattr(sys.modules["nearfield"], "llm", raising=False)
@@ -30,6 +30,18 @@ def test_entry_without_the_subpackage(monkeypatch):
     monkeypatch.delitem(sys.modules, "__spark_entry__")
 
 
+def test_entry_without_a_library(monkeypatch):
+    """A library that the subpackage lacks is told, not taken for its removal."""
+    entry = importlib.import_module("__spark_entry__")
+
+    def missing(module):
+        raise ModuleNotFoundError("tiktoken", name="tiktoken")
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("nearfield.llm.registry")
+
+
 @pytest.mark.parametrize("name", ["pareto", "knn_jaccard_documents", "report_level_curves_hnsw", "all_metrics"])
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
