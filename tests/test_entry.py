@@ -15,6 +15,7 @@ def test_entry_runs(spark):
 
 
 def test_entry_without_the_subpackage(monkeypatch):
+    importlib.import_module("nearfield")
     for name in [m for m in sys.modules if m.startswith("nearfield.llm") or m in ("corpus_pipeline", "__spark_entry__")]:
         monkeypatch.delitem(sys.modules, name)
 
