@@ -242,8 +242,8 @@ def test_lines_at_the_threshold_are_found(spark):
                 docs.append((len(docs), " ".join(w) + "\n" + " ".join(other)))
                 want.append([1])
     got = lines.report(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id").collect()
-    # exactly at the threshold a fourth of the runs of three words agree, which share a block in nine of ten cases
-    assert len(docs) > 50 and np.mean([r.removed_lines == w for r, w in zip(got, want, strict=True)]) >= 0.85
+    # exactly at the threshold a fourth of the runs of three words agree; one block of four then does in two of three cases
+    assert len(docs) > 50 and np.mean([r.removed_lines == w for r, w in zip(got, want, strict=True)]) >= 0.6
 
 
 def test_blocks_are_signs_of_weighted_votes(spark):
@@ -263,10 +263,10 @@ def test_blocks_are_signs_of_weighted_votes(spark):
 
         f = [run(*h[i : i + 3]) for i in range(len(h) - 2)] + ([run(*h[i : i + 2]) for i in range(len(h) - 1)] if len(h) < lines.SHORT else [])
         want = []
-        for block in {x >> 61 for x in f}:
-            own = sorted({x & ((1 << 54) - 1) for x in f if x >> 61 == block})  # no feature is common here
-            votes = [sum((1 if x >> j & 1 else -1) * 3 ** (len(own) - 1 - i) for i, x in enumerate(own)) for j in range(54)]
-            want.append((block << 61 | sum(1 << j for j, v in enumerate(votes) if v > 0)) - (1 << 64 if block >= 4 else 0))
+        for block in {x >> 62 for x in f}:
+            own = sorted({x & ((1 << 55) - 1) for x in f if x >> 62 == block})  # no feature is common here
+            votes = [sum((1 if x >> j & 1 else -1) * 3 ** (len(own) - 1 - i) for i, x in enumerate(own)) for j in range(55)]
+            want.append((block << 62 | sum(1 << j for j, v in enumerate(votes) if v > 0)) - (1 << 64 if block >= 2 else 0))
         assert got[d][0] == len(h) and sorted(got[d][1]) == sorted(want)
 
 
@@ -361,3 +361,24 @@ def test_pipeline_stages(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         empty = spark.createDataFrame(stage(spark, empty, sf).collect(), stage(spark, empty, sf).schema)
         assert empty.count() == 0
+
+
+def test_queries_of_small_parts_find_all(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    far = [(50 * i, (rng.standard_normal(4) * 0.01 + np.eye(4)[0] * (1 if i else -9)).tolist()) for i in range(2)]
+    rows = far + [(i, (rng.standard_normal(4) + 5).tolist()) for i in range(1, 60) if i % 50]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(partitions, "calibrate", lambda *a: (1, 0.5))
+    got = partitions.find(df).collect()
+    assert {q: sorted(r.rank for r in got if r.query_id == q) for q in (0, 50)} == {0: [1, 2, 3, 4, 5], 50: [1, 2, 3, 4, 5]}
+    few = partitions.find(df.where("vec_id in (0, 1, 2)")).collect()
+    assert sorted((r.query_id, r.rank) for r in few) == [(0, 1), (0, 2)]
+
+
+def test_equal_and_extreme_vectors(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0, 3.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in partitions.find(same).orderBy("rank").collect()] == [(i, pytest.approx(1.0)) for i in (1, 2, 3, 4, 5)]
+    sizes = [1e300, 1e-300, 1.0, 1e308, 5e-320, 1e155]
+    wide = spark.createDataFrame([(i, [s, s, 0.0]) for i, s in enumerate(sizes)], "vec_id long, embedding array<double>")
+    got = partitions.find(wide).collect()
+    assert len(got) == 5 and all(r.score == pytest.approx(1.0, abs=1e-3) for r in got)
