@@ -7,8 +7,8 @@ feature outvotes the rest together, so a block's bits are simply that feature's.
 of their word sequences reaches the threshold. Of each connected group the occurrence with the least (doc_id, line number) stays.
 
 Equal weights don't do: one edited word in twenty then flips six of 64 bits, and no radius that can be joined on gets there.
-With these, a block stays whole as long as its heaviest feature does. The order puts features last that are common in a sample,
-which changes costs, not the rule.
+With these, a block stays whole as long as its heaviest feature does. The order puts common features last, as
+counted in all rows, so that few lines meet by chance.
 
 In a bucket of few lines all are compared. In a larger one, lines are compared with one pivot first, the same in all buckets of
 a group of variants, and only what is not connected by then is compared with each other; so a line with thousands of variants
@@ -35,9 +35,8 @@ BLOCKS = 4
 _BLOCK_BITS = 2
 #: Lines of fewer words have blocks of pairs of words, too.
 SHORT = 12
-#: One row in so many is read for common features; of those, the most common are known by a table of so many levels.
-SAMPLE = 32
-COMMON = 40_000
+#: Common features are counted in every row (one row in one), by this many low bits of their hash.
+SAMPLE = 1
 LEVELS = 1 << 17
 #: Lines that occur more often than this send the blocks of one occurrence only.
 OFTEN = 32
@@ -108,14 +107,19 @@ def _pairs() -> F.Column:
 
 
 def _common(docs: DataFrame, text: str) -> list[int]:
-    """By the low bits of a feature, 0, or a level that grows with its count in the sample."""
-    some = _lines_of(docs.where(F.pmod(_row_key(text), F.lit(SAMPLE)) == 0), text, 2)
-    counts = some.select(F.explode(F.array_distinct(F.concat(_features(), _pairs()))).alias("f")).groupBy("f").count().where("count >= 4")
-    top = counts.orderBy(F.desc("count"), "f").limit(COMMON).toArrow()
-    levels = np.zeros(LEVELS, np.int64)
-    at = top["f"].to_numpy() & (LEVELS - 1)
-    np.maximum.at(levels, at, np.minimum(127, 6 * np.log2(top["count"].to_numpy().astype(float) + 1)).astype(np.int64))
-    return levels.tolist()
+    """By the low bits of a feature, 0, or a level that grows with the occurrences of the features that have them, in all rows.
+
+    What rare features add up to in most slots is taken off; what stands out of it by less than four deviations is none, nor is
+    a count of up to FEW, as buckets of so few lines are compared in full.
+    """
+    slots = _lines_of(docs, text, 2).select(F.explode(F.concat(_features(), _pairs())).alias("f")).select(F.col("f").bitwiseAND(F.lit(LEVELS - 1)).alias("slot"))
+    got = slots.groupBy("slot").count().toArrow()
+    counts = np.zeros(LEVELS)
+    counts[got["slot"].to_numpy()] = got["count"].to_numpy()
+    usual = np.median(counts)
+    excess = counts - usual
+    levels = np.where(excess > max(FEW, 4 * usual**0.5), np.minimum(127, 6 * np.log2(np.maximum(excess, 0) + 1)), 0)
+    return levels.astype(np.int64).tolist()
 
 
 def simhashed(lines: DataFrame, common: list[int], threshold: float = THRESHOLD) -> DataFrame:

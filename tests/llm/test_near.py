@@ -286,6 +286,15 @@ def test_common_features_change_no_result(spark, monkeypatch):
     assert sorted(map(str, lines.report(docs).collect())) == before
 
 
+def test_common_features_are_counted_in_all_rows(spark):
+    """A run of words in every third row has a level, whichever rows a sample would hold."""
+    line = "one very common line of words"
+    docs = spark.createDataFrame([(i, line if i % 3 == 0 else f"row{i} has words{i} of its{i} own{i}") for i in range(120)], "doc_id long, text string")
+    levels = np.array(lines._common(docs, "text"))
+    # four runs of three words and five of two, each in forty rows
+    assert (levels > 0).sum() == 9 and set(levels[levels > 0]) == {int(6 * np.log2(41))}
+
+
 def test_lines_of_odd_tables(spark):
     kind = "doc_id long, text string, n_chars long, pos int"
     rows = [(None, "a b c d", 7, 1), (1, "a b c d\nzz yy xx", 16, 1), (1, "a b c d\nzz yy xx", 16, 1), (2, "zz yy xx", 8, 1)]
