@@ -517,3 +517,16 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(docs.limit(0), none, mixing.tempered(0.7), ()).count() == 0
     assert mixing.fit_rates(table(spark, [(0, 1.0, 0.0)]), mixing.tempered(0.7), 2) == ([], [], [0.0, 0.0], [0.0, 0.0])
     assert mixing.totals(docs, none, mixing.shares(mixing.TARGETS)).count() == 3
+
+
+def test_workers_give_freed_memory_back(monkeypatch):
+    """A worker that idles beside the next stage holds little of what its last task used."""
+    import pyarrow as pa
+
+    from nearfield.llm import text
+
+    calls, real = [], text.give_back
+    monkeypatch.setattr(text, "give_back", lambda: calls.append(real()))
+    batch = pa.RecordBatch.from_pydict({"text": ["a b", None, "c"]})
+    got = [b.num_rows for b in text.blocks([batch, batch], "text", 1)]
+    assert sum(got) == 6 and calls == [None]
