@@ -295,6 +295,27 @@ def test_common_features_are_counted_in_all_rows(spark):
     assert (levels > 0).sum() == 9 and set(levels[levels > 0]) == {int(6 * np.log2(41))}
 
 
+def test_maps_of_words_lose_no_similar_pair(spark):
+    """Pairs of few edits pass the maps of words, others of the same length don't; copies of a line make one entry."""
+    rng = random.Random(13)
+    texts = []
+    for n in (6, 11, 12, 30, 90):
+        w = text_of(rng, n).split(" ")
+        other = ["edit" + x if i % 5 == 4 else x for i, x in enumerate(w)]
+        texts.append("\n".join([" ".join(w), " ".join(other), text_of(rng, n), " ".join(w)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = lines.line_table(docs).collect()
+    by = {(r.doc_id, r.pos): r for r in table}
+    rows = [(*[by[d, 0][c] for c in "knst"], *[by[d, p][c] for c in "knst"]) for d in range(len(texts)) for p in (1, 2)]
+    pairs = spark.createDataFrame(rows, "ka long, na int, sa long, ta long, kb long, nb int, sb long, tb long")
+    got = {(r.a, r.b) for r in lines._candidates(pairs, lines.THRESHOLD).collect()}
+    assert got == {tuple(sorted((by[d, 0].k, by[d, 1].k))) for d in range(len(texts))}
+    places = lines.line_places(lines.folded_texts(docs, "text"), lines._common(docs, "text"))
+    long = lines.blocks_of_long(lines.folded_texts(docs, "text"), lines._common(docs, "text")).collect()
+    assert all(by[d, 0].k == by[d, 3].k for d in range(len(texts))) and places.count() == 4 * len(texts)
+    assert len(long) == len({r.k for r in long}) == 9  # copies of a long line count once; three lines of three texts
+
+
 def test_lines_of_odd_tables(spark):
     kind = "doc_id long, text string, n_chars long, pos int"
     rows = [(None, "a b c d", 7, 1), (1, "a b c d\nzz yy xx", 16, 1), (1, "a b c d\nzz yy xx", 16, 1), (2, "zz yy xx", 8, 1)]
